@@ -90,7 +90,7 @@ def _body(frames: Column, spoilt: Column, total_name: Column) -> Column:
     )
     return (
         F.when(spoilt == "bad_json", F.concat(F.lit("nope "), text))
-        .when(spoilt == "wrong_type", F.replace(text, F.lit('"names":['), F.lit('"names":[[],')))
+        .when(spoilt == "wrong_type", F.regexp_replace(text, r'"names":\[[^\]]*\]', '"names":"x"'))
         .otherwise(text)
     )
 
