@@ -21,6 +21,10 @@ from stacktally.operators import lifecycle as lc
 from stacktally.operators import matching, profiles as p, registry as r, report, usage as u
 from stacktally.plans import hotspots
 from stacktally.sources import eventlog as e
+from stacktally.sources import tables
+from stacktally.streaming import jobs as sj
+from stacktally.streaming import run
+from stacktally.streaming import usage as su
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,16 +67,21 @@ def oracle_sql() -> dict[str, str]:
 _CTES = f"""
 base AS (SELECT {', '.join(fx.BASE_COLUMNS)} FROM events),
 registration AS (SELECT {', '.join(fx.REGISTRATION_COLUMNS)} FROM base),
-job AS (
-  SELECT app_id, job_id, epoch_us(min(ts)) // 1000 AS start_ms, epoch_us(max(ts)) // 1000 AS end_ms,
-         NOT ({fx.RUNNING_JOB}) AS finished
+job_start AS (
+  SELECT app_id, job_id, epoch_us(min(ts)) // 1000 AS start_ms
   FROM base WHERE NOT ({fx.NO_JOB_EVENT}) GROUP BY app_id, job_id),
 job_stage AS (
   SELECT DISTINCT app_id, job_id, stage_id FROM base WHERE NOT ({fx.NO_JOB_EVENT})
   UNION
   SELECT DISTINCT b.app_id, j.job_id, b.stage_id
-  FROM base b JOIN job j ON j.app_id = b.app_id AND j.job_id = b.job_id + 1
+  FROM base b JOIN job_start j ON j.app_id = b.app_id AND j.job_id = b.job_id + 1
   WHERE b.stage_id % 10 = 0),
+job AS (
+  SELECT app_id, job_id, start_ms, max(stage_end_ms) AS end_ms, NOT ({fx.RUNNING_JOB}) AS finished
+  FROM job_start JOIN job_stage USING (app_id, job_id)
+  JOIN (SELECT app_id, stage_id, epoch_us(max(ts)) // 1000 AS stage_end_ms
+        FROM base GROUP BY app_id, stage_id) USING (app_id, stage_id)
+  GROUP BY app_id, job_id, start_ms),
 stage_owner AS (
   SELECT app_id, stage_id, arg_max(job_id, start_ms * 1000 + job_id) AS job_id
   FROM job_stage JOIN job USING (app_id, job_id) GROUP BY app_id, stage_id),
@@ -584,6 +593,93 @@ def selector_text(spark, sf_dir):
     )
 
 
+# --- streams ----------------------------------------------------------------------
+
+class _Feed:
+    """Folders that the steps of a stream are landed in, one after the other."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.root = spark, w.new_path(spark, "stream")
+        self.landing = fx.land(spark, sf_dir)
+        self.owners = w.publish(_owners(self.landing.log), "owners")
+        self.profiles, self.lines = f"{self.root}/profiles", f"{self.root}/lines"
+        self.usage = f"{self.root}/usage"
+
+    def steps(self, with_lines: bool = True):
+        for profiles, lines in fx.stream_steps(self.spark, self.landing):
+            tables.write_profiles(profiles, self.profiles, mode="append")
+            if with_lines:
+                lines.write.mode("append").parquet(self.lines)
+            stream = tables.stream_profiles(self.spark, self.profiles)
+            self.drain(su.usage_writer(stream, self.landing.registry, self.usage), "land")
+            yield
+
+    def drain(self, writer, name: str) -> None:
+        run.drain(writer, f"{self.root}/checkpoint/{name}")
+
+    def drain_to_files(self, rows: DataFrame, name: str) -> str:
+        path = f"{self.root}/{name}"
+        self.drain(run.to_files(rows, path), name)
+        return path
+
+    def log(self) -> DataFrame:
+        return self.spark.readStream.schema(m.LOG_LINE).parquet(self.lines)
+
+    def outcomes(self) -> DataFrame:
+        usage = su.stream_usage(self.spark, self.usage)
+        return sj.task_outcomes(e.task_ends(self.log()), usage, self.owners)
+
+
+@query("SELECT app_id, task_id, metric, udf, is_total, value FROM task_usage")
+def stream_task_usage(spark, sf_dir):
+    feed = _Feed(spark, sf_dir)
+    for _ in feed.steps(with_lines=False):
+        path = feed.drain_to_files(
+            su.windowed_usage(su.stream_usage(spark, feed.usage)), "windowed"
+        )
+    return spark.read.parquet(path).filter(F.col("app_id") != fx.SENTINEL_APP).drop("landed")
+
+
+@query("""
+SELECT t.app_id, o.job_id, t.stage_id, t.task_id, metric
+FROM task t JOIN stage_owner o USING (app_id, stage_id)
+CROSS JOIN (VALUES ('CPU'), ('MEM')) v(metric)
+WHERE t.ended AND NOT EXISTS (
+  SELECT 1 FROM task_usage u
+  WHERE u.app_id = t.app_id AND u.task_id = t.task_id AND u.metric = v.metric)
+""")
+def stream_missing(spark, sf_dir):
+    feed = _Feed(spark, sf_dir)
+    for _ in feed.steps():
+        path = feed.drain_to_files(sj.missing_tasks(feed.outcomes()), "missing")
+    return spark.read.parquet(path).drop("end_ts")
+
+
+@query("""
+SELECT job.app_id, job.job_id, count(t.task_id) AS tasks, 2 * count(t.task_id) AS outcomes,
+       CAST(coalesce(sum(seen.n), 0) AS BIGINT) AS received, TRUE AS complete
+FROM job LEFT JOIN stage_owner o ON o.app_id = job.app_id AND o.job_id = job.job_id
+LEFT JOIN task t ON t.app_id = o.app_id AND t.stage_id = o.stage_id AND t.ended
+LEFT JOIN (SELECT app_id, task_id, count(DISTINCT metric) AS n FROM task_usage
+           GROUP BY app_id, task_id) seen
+  ON seen.app_id = t.app_id AND seen.task_id = t.task_id
+WHERE job.finished GROUP BY job.app_id, job.job_id
+""")
+def stream_job_report(spark, sf_dir):
+    feed = _Feed(spark, sf_dir)
+    for _ in feed.steps():
+        log = feed.log()
+        ended = feed.drain_to_files(
+            sj.end_counts(e.task_ends(log), e.job_ends(log), feed.owners), "ended"
+        )
+        seen = feed.drain_to_files(sj.outcome_counts(feed.outcomes()), "seen")
+    counts = sj.stream_counts(spark, ended, "1 minute").unionByName(
+        sj.stream_counts(spark, seen, "1 minute")
+    )
+    path = feed.drain_to_files(sj.job_reports(counts), "reports")
+    return spark.read.parquet(path).filter(F.col("app_id") != fx.SENTINEL_APP)
+
+
 # --- reports ----------------------------------------------------------------------
 
 @query("SELECT app_id, job_id, stage_id, task_id, metric, udf, is_total, value, job_total, pct FROM share")

@@ -185,11 +185,14 @@ def _ms(ts: str) -> Column:
 
 
 def job_rows(rows: DataFrame) -> DataFrame:
-    """``app_id, job_id, stage_ids, start_ts, end_ts``: a job also lists some stages of the one before."""
+    """``app_id, job_id, stage_ids, start_ts, end_ts``.
+
+    A job also lists some stages of the job before it, and ends after all it lists.
+    """
     own = rows.groupBy("app_id", "job_id", "stage_id").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts")
     )
-    # The borrowed stage carries no time, so that only jobs with rows of their own remain.
+    # A borrowed stage carries no start, so that only jobs with rows of their own remain.
     none = F.lit(None).cast("timestamp_ntz")
     listed = own.select(
         "app_id", "stage_id",
@@ -201,7 +204,7 @@ def job_rows(rows: DataFrame) -> DataFrame:
                         F.col("stage_id") % 10 == 0,
                         F.struct(
                             (F.col("job_id") + 1).alias("job_id"), none.alias("start_ts"),
-                            none.alias("end_ts"),
+                            "end_ts",
                         ),
                     ),
                 )
@@ -295,6 +298,60 @@ def read_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+# Streams get the data in two steps and then two rows far in the future, which
+# move the watermarks past everything that was waiting.
+STREAM_SPLIT = "2024-01-16 00:00:00"
+SENTINELS = ("2098-01-01 00:00:00", "2099-01-01 00:00:00")
+SENTINEL_APP = "~end"
+
+
+def stream_steps(spark: SparkSession, landing: Landing) -> list[tuple[DataFrame, DataFrame]]:
+    """``(profiles, log lines)`` of each step, in the order of time.
+
+    The lines are those of ended tasks and jobs.
+    """
+    ms = F.coalesce(
+        F.get_json_object("value", "$['Task Info']['Finish Time']"),
+        F.get_json_object("value", "$['Completion Time']"),
+    ).cast("bigint")
+    ends = landing.log.filter(
+        F.contains("value", F.lit("SparkListenerTaskEnd"))
+        | F.contains("value", F.lit("SparkListenerJobEnd"))
+    ).withColumn("ts", F.timestamp_millis(ms))
+    split = F.lit(STREAM_SPLIT).cast("timestamp")
+    steps = [
+        (landing.profiles.filter(test), ends.filter(test).drop("ts"))
+        for test in (F.col("ts") < split, F.col("ts") >= split)
+    ]
+    for moment in SENTINELS:
+        ts = F.lit(moment).cast("timestamp")
+        one = spark.range(1).select(
+            F.lit(SENTINEL_APP).alias("app_id"), F.lit(0).cast("bigint").alias("id"), ts.alias("ts")
+        )
+        profile = one.select(
+            "app_id", F.lit("spark-app").alias("service_name"), "id",
+            F.col("id").alias("job_id"), "ts",
+            F.lit('{"flamebearer":{"names":["total"],"levels":[[0,1,0,0]]}}').alias("body"),
+            F.lit(m.CPU_PROFILE).alias("profile_type"), F.lit(m.TASK).alias("unit"),
+        )
+        number = F.col("id")
+        lines = _line(
+            one, "SparkListenerTaskEnd", number.alias("Stage ID"),
+            number.alias("Stage Attempt ID"),
+            F.struct(
+                number.alias("Task ID"), _ms("ts").alias("Launch Time"),
+                _ms("ts").alias("Finish Time"),
+            ).alias("Task Info"),
+        ).unionByName(
+            _line(
+                one, "SparkListenerJobEnd", number.alias("Job ID"),
+                _ms("ts").alias("Completion Time"),
+            )
+        )
+        steps.append((profile, lines))
+    return steps
+
+
 _landed: dict[tuple[str, str], str] = {}
 
 

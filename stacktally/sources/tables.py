@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
 
 from stacktally import model as m
 
@@ -43,14 +42,3 @@ def write_findings(findings: DataFrame, path: str, mode: str = "append") -> None
 def write_missing(missing: DataFrame, path: str, mode: str = "append") -> None:
     missing.write.mode(mode).partitionBy("metric").parquet(path)
 
-
-def stream_to_table(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends a stream to a parquet folder with the files available now, then stops."""
-    return (
-        rows.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
