@@ -212,9 +212,10 @@ def _usage(land: fx.Landing, **only: str) -> DataFrame:
 
 def _report(spark: SparkSession, sf_dir: str) -> hotspots.Report:
     land = fx.land(spark, sf_dir)
+    log = e.land_events(land.log)
     return hotspots.find_hotspots(
-        land.profiles, e.job_events(land.log), e.stage_events(land.log),
-        e.task_events(land.log), land.registry, THRESHOLDS,
+        land.profiles, e.job_events(log), e.stage_events(log), e.task_events(log),
+        land.registry, THRESHOLDS,
     )
 
 
@@ -225,10 +226,10 @@ def _owners(log: DataFrame) -> DataFrame:
 def _shares(spark: SparkSession, sf_dir: str, metric_type: str | None = None) -> DataFrame:
     land = fx.land(spark, sf_dir)
     only = {"profile_type": metric_type} if metric_type else {}
-    usage = w.publish(_usage(land, **only), "usage")
+    usage = w.publish(_usage(land, **only), "usage").rows
+    log = e.land_events(land.log)
     expected = report.expected_tasks(
-        e.job_events(land.log), e.stage_events(land.log), e.task_events(land.log),
-        u.job_total(usage),
+        e.job_events(log), e.stage_events(log), e.task_events(log), u.job_total(usage)
     )
     return report.usage_share(expected, usage)
 
@@ -403,7 +404,7 @@ FROM base
 """)
 def frame_match(spark, sf_dir):
     land = fx.land(spark, sf_dir)
-    classes = r.impl_to_udf(r.resolve_registry(land.registry))
+    classes = w.measure(r.impl_to_udf(r.resolve_registry(land.registry)))
     return matching.match_frames(p.frame_names(land.profiles), classes)
 
 
@@ -601,7 +602,7 @@ class _Feed:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.root = spark, w.new_path(spark, "stream")
         self.landing = fx.land(spark, sf_dir)
-        self.owners = w.publish(_owners(self.landing.log), "owners")
+        self.owners = w.publish(_owners(self.landing.log), "owners").rows
         self.profiles, self.lines = f"{self.root}/profiles", f"{self.root}/lines"
         self.usage = f"{self.root}/usage"
 

@@ -298,8 +298,8 @@ def read_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-# Streams get the data in two steps and then two rows far in the future, which
-# move the watermarks past everything that was waiting.
+# Streams get the data in two steps. A row far in the future comes with the second
+# one and another alone, to move the watermarks past everything that was waiting.
 STREAM_SPLIT = "2024-01-16 00:00:00"
 SENTINELS = ("2098-01-01 00:00:00", "2099-01-01 00:00:00")
 SENTINEL_APP = "~end"
@@ -348,6 +348,9 @@ def stream_steps(spark: SparkSession, landing: Landing) -> list[tuple[DataFrame,
                 _ms("ts").alias("Completion Time"),
             )
         )
+        if moment == SENTINELS[0]:
+            profiles_so_far, lines_so_far = steps.pop()
+            profile, lines = profiles_so_far.unionByName(profile), lines_so_far.unionByName(lines)
         steps.append((profile, lines))
     return steps
 

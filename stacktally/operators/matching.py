@@ -53,14 +53,16 @@ def anchors(registry: DataFrame) -> DataFrame:
     )
 
 
-def match_frames(names: DataFrame, registry: DataFrame) -> DataFrame:
+def match_frames(
+    names: DataFrame, registry: w.Table, limit: int = w.BROADCAST_LIMIT_BYTES
+) -> DataFrame:
     """``app_id, frame, udf, impl`` for each distinct frame name that is a function's.
 
     Among several classes in one frame the longest wins, then the smallest name.
     """
-    found = anchors(registry)
-    # An anchor row is never larger than twice its registry row.
-    if w.fits_broadcast(registry, w.BROADCAST_LIMIT_BYTES // 3):
+    found = anchors(registry.rows)
+    # An anchor row is its registry row, the class path once more and one substring.
+    if registry.n_bytes <= limit // 3:
         found = F.broadcast(found)
     frame = F.col("frame")
     grams = names.select(
@@ -81,7 +83,9 @@ def match_frames(names: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def attribute(frames: DataFrame, dictionary: DataFrame, limit: int | None = None) -> DataFrame:
+def attribute(
+    frames: DataFrame, dictionary: w.Table, limit: int = w.BROADCAST_LIMIT_BYTES
+) -> DataFrame:
     """Adds ``udf`` and ``is_total`` to the frames that count and drops the others.
 
     A frame counts if its name is in ``dictionary`` (the result of
@@ -90,11 +94,11 @@ def attribute(frames: DataFrame, dictionary: DataFrame, limit: int | None = None
     """
     looked_up = w.join_lookup(
         frames,
-        dictionary.select("app_id", "frame", "udf"),
+        dictionary._replace(rows=dictionary.rows.select("app_id", "frame", "udf")),
         on=["app_id", "frame"],
         spread_by=["profile_type", "unit", "id"],
         how="left",
-        limit=w.BROADCAST_LIMIT_BYTES if limit is None else limit,
+        limit=limit,
     )
     known, total = F.col("udf").isNotNull(), F.col("frame") == m.TOTAL_FRAME
     return looked_up.filter(known | total).withColumn("is_total", ~known)

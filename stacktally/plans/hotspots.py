@@ -18,7 +18,7 @@ class Report(NamedTuple):
     usage: DataFrame
 
 
-def dictionary_of(profiles: DataFrame, resolved: DataFrame) -> DataFrame:
+def dictionary_of(profiles: DataFrame, resolved: DataFrame) -> w.Table:
     """Frame names of registered functions, as a table of known size.
 
     Profiles repeat the same names over and over, so the names are made distinct
@@ -49,7 +49,7 @@ def find_hotspots(
     settings: Settings = Settings(),
 ) -> Report:
     """Decode, attribute and report. The usage table is written once and read by all parts."""
-    usage = w.publish(task_usage(profiles, registrations), "usage")
+    usage = w.publish(task_usage(profiles, registrations), "usage").rows
     expected = report.expected_tasks(jobs, stages, tasks, u.job_total(usage))
     valid, rejected = p.validate_profiles(profiles)
     no_total = u.jobs_without_total(valid, usage)

@@ -1,7 +1,8 @@
 """Lifecycle events from Spark event logs.
 
 All readers work on lines ``app_id, value``. Lines of other events are dropped
-by their text before any JSON is parsed, and each reader parses a line once.
+by their text before any JSON is parsed. ``land_events`` parses a log once for
+several readers.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stacktally import workspace as w
+
 # Event names and fields as Spark writes them.
 APP_START = "SparkListenerApplicationStart"
 JOB_START = "SparkListenerJobStart"
@@ -19,17 +22,15 @@ STAGE_SUBMITTED = "SparkListenerStageSubmitted"
 TASK_START = "SparkListenerTaskStart"
 TASK_END = "SparkListenerTaskEnd"
 
-_APP = "Event STRING, `App Name` STRING, `App ID` STRING, `Timestamp` BIGINT"
-_JOB = (
-    "Event STRING, `Job ID` BIGINT, `Stage IDs` ARRAY<BIGINT>, `Submission Time` BIGINT, "
-    "`Completion Time` BIGINT, `Job Result` STRUCT<Result: STRING>"
-)
-_STAGE = (
-    "Event STRING, `Stage Info` STRUCT<`Stage ID`: BIGINT, `Stage Attempt ID`: BIGINT, "
-    "`Submission Time`: BIGINT>"
-)
-_TASK = (
-    "Event STRING, `Stage ID` BIGINT, `Stage Attempt ID` BIGINT, "
+EVENTS = (APP_START, JOB_START, JOB_END, STAGE_SUBMITTED, TASK_START, TASK_END)
+
+# The fields of all six events; absent ones are null.
+_LINE = (
+    "Event STRING, `App Name` STRING, `Timestamp` BIGINT, "
+    "`Job ID` BIGINT, `Stage IDs` ARRAY<BIGINT>, `Submission Time` BIGINT, "
+    "`Completion Time` BIGINT, `Job Result` STRUCT<Result: STRING>, "
+    "`Stage Info` STRUCT<`Stage ID`: BIGINT, `Stage Attempt ID`: BIGINT, "
+    "`Submission Time`: BIGINT>, `Stage ID` BIGINT, `Stage Attempt ID` BIGINT, "
     "`Task End Reason` STRUCT<Reason: STRING>, "
     "`Task Info` STRUCT<`Task ID`: BIGINT, `Launch Time`: BIGINT, `Finish Time`: BIGINT>"
 )
@@ -58,95 +59,95 @@ def stream_events(spark: SparkSession, path: str, max_files: int | None = None)
     return _with_app_id(reader.text(path))
 
 
-def _parse(log: DataFrame, schema: str, *events: str) -> DataFrame:
+def parse_events(log: DataFrame, *events: str) -> DataFrame:
+    """One typed row per line of the chosen events.
+
+    A table of such rows is only filtered, so all readers below accept either.
+    """
+    if "value" not in log.columns:
+        return log.filter(F.col("event").isin(*events))
     mentioned = reduce(Column.__or__, [F.contains("value", F.lit(e)) for e in events])
+    millis = lambda field: F.timestamp_millis(F.col(field))
     return (
         log.filter(mentioned)
-        .select("app_id", F.inline(F.array(F.from_json("value", schema))))
+        .select("app_id", F.inline(F.array(F.from_json("value", _LINE))))
         .filter(F.col("Event").isin(*events))
+        .select(
+            "app_id",
+            F.col("Event").alias("event"),
+            F.col("App Name").alias("app_name"),
+            F.col("Job ID").alias("job_id"),
+            F.col("Stage IDs").alias("stage_ids"),
+            F.coalesce("Stage ID", "Stage Info.Stage ID").alias("stage_id"),
+            F.coalesce("Stage Attempt ID", "Stage Info.Stage Attempt ID").alias("attempt"),
+            F.col("Task Info.Task ID").alias("task_id"),
+            F.coalesce(
+                millis("Timestamp"), millis("Submission Time"),
+                millis("Stage Info.Submission Time"), millis("Task Info.Launch Time"),
+            ).alias("start_ts"),
+            F.when(F.col("Event") == JOB_END, millis("Completion Time"))
+            .when(F.col("Event") == TASK_END, millis("Task Info.Finish Time")).alias("end_ts"),
+            F.coalesce("Job Result.Result", "Task End Reason.Reason").alias("outcome"),
+        )
     )
 
 
-def _millis(field: str) -> Column:
-    return F.timestamp_millis(F.col(field))
+def land_events(log: DataFrame) -> DataFrame:
+    """Parses a log once into a table partitioned by event, for several readers."""
+    return w.publish(parse_events(log, *EVENTS), "events", ["event"]).rows
 
 
 def app_start(log: DataFrame) -> DataFrame:
-    start = _parse(log, _APP, APP_START)
     return (
-        start.groupBy("app_id")
-        .agg(F.max("App Name").alias("app_name"), F.min(_millis("Timestamp")).alias("start_ts"))
+        parse_events(log, APP_START)
+        .groupBy("app_id")
+        .agg(F.max("app_name").alias("app_name"), F.min("start_ts").alias("start_ts"))
         .withColumn("start_epoch", F.unix_seconds("start_ts"))
     )
 
 
-def job_starts(log: DataFrame) -> DataFrame:
-    return _parse(log, _JOB, JOB_START).select(
-        "app_id", F.col("Job ID").alias("job_id"), F.col("Stage IDs").alias("stage_ids"),
-        _millis("Submission Time").alias("start_ts"),
-    )
-
-
 def job_ends(log: DataFrame) -> DataFrame:
-    return _parse(log, _JOB, JOB_END).select(
-        "app_id", F.col("Job ID").alias("job_id"),
-        _millis("Completion Time").alias("end_ts"), F.col("Job Result.Result").alias("result"),
+    return parse_events(log, JOB_END).select(
+        "app_id", "job_id", "end_ts", F.col("outcome").alias("result")
     )
 
 
 def job_events(log: DataFrame) -> DataFrame:
     """Starts and ends of jobs, merged by one aggregation over one pass."""
-    rows = _parse(log, _JOB, JOB_START, JOB_END).select(
-        "app_id", F.col("Job ID").alias("job_id"), F.col("Stage IDs").alias("stage_ids"),
-        F.when(F.col("Event") == JOB_START, _millis("Submission Time")).alias("start_ts"),
-        F.when(F.col("Event") == JOB_END, _millis("Completion Time")).alias("end_ts"),
-        F.col("Job Result.Result").alias("result"),
-    )
-    return rows.groupBy("app_id", "job_id").agg(
-        F.max_by("stage_ids", "start_ts").alias("stage_ids"),
-        F.max("start_ts").alias("start_ts"),
-        F.max("end_ts").alias("end_ts"),
-        F.max("result").alias("result"),
+    return (
+        parse_events(log, JOB_START, JOB_END)
+        .groupBy("app_id", "job_id")
+        .agg(
+            F.max_by("stage_ids", "start_ts").alias("stage_ids"),
+            F.max("start_ts").alias("start_ts"),
+            F.max("end_ts").alias("end_ts"),
+            F.max("outcome").alias("result"),
+        )
     )
 
 
 def stage_events(log: DataFrame) -> DataFrame:
-    info = F.col("Stage Info")
     return (
-        _parse(log, _STAGE, STAGE_SUBMITTED)
-        .select(
-            "app_id",
-            info["Stage ID"].alias("stage_id"),
-            info["Stage Attempt ID"].alias("attempt"),
-            F.timestamp_millis(info["Submission Time"]).alias("submit_ts"),
-        )
+        parse_events(log, STAGE_SUBMITTED)
         .groupBy("app_id", "stage_id", "attempt")
-        .agg(F.max("submit_ts").alias("submit_ts"))
-    )
-
-
-def _task_rows(log: DataFrame, *events: str) -> DataFrame:
-    info = F.col("Task Info")
-    ended = F.col("Event") == TASK_END
-    return _parse(log, _TASK, *events).select(
-        "app_id",
-        info["Task ID"].alias("task_id"),
-        F.col("Stage ID").alias("stage_id"),
-        F.col("Stage Attempt ID").alias("attempt"),
-        F.timestamp_millis(info["Launch Time"]).alias("start_ts"),
-        F.when(ended, F.timestamp_millis(info["Finish Time"])).alias("end_ts"),
-        F.when(ended, F.col("Task End Reason.Reason")).alias("reason"),
+        .agg(F.max("start_ts").alias("submit_ts"))
     )
 
 
 def task_ends(log: DataFrame) -> DataFrame:
-    return _task_rows(log, TASK_END)
+    return parse_events(log, TASK_END).select(
+        "app_id", "task_id", "stage_id", "attempt", "start_ts", "end_ts",
+        F.col("outcome").alias("reason"),
+    )
 
 
 def task_events(log: DataFrame) -> DataFrame:
     """Starts and ends of tasks, merged by one aggregation over one pass."""
     return (
-        _task_rows(log, TASK_START, TASK_END)
+        parse_events(log, TASK_START, TASK_END)
         .groupBy("app_id", "task_id")
-        .agg(*[F.max(c).alias(c) for c in ("stage_id", "attempt", "start_ts", "end_ts", "reason")])
+        .agg(
+            *[F.max(c).alias(c) for c in ("stage_id", "attempt", "start_ts", "end_ts")],
+            F.max("outcome").alias("reason"),
+        )
     )

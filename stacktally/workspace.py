@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only if it was measured to be no larger than this.
@@ -39,32 +42,51 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/stacktally/{name}-{uuid.uuid4().hex}"
 
 
-def publish(df: DataFrame, name: str) -> DataFrame:
+def _row_bytes(df: DataFrame) -> Column:
+    """Text bytes of a row plus a fixed cost, as an upper bound for small lookups."""
+    text = [
+        F.octet_length(F.coalesce(F.col(c), F.lit("")))
+        for c, kind in df.dtypes if kind == "string"
+    ]
+    return reduce(Column.__add__, text, F.lit(ROW_OVERHEAD_BYTES))
+
+
+def _total_bytes(df: DataFrame) -> Column:
+    return F.coalesce(F.sum(_row_bytes(df).cast("bigint")), F.lit(0)).alias("n_bytes")
+
+
+class Table(NamedTuple):
+    """A published table and its measured size."""
+
+    rows: DataFrame
+    n_bytes: int
+
+
+def publish(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> Table:
     """Write ``df`` as parquet in the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives later joins the true
-    size of the table in place of an estimate.
+    size of the table in place of an estimate. The size is observed by the job
+    that writes.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    size = Observation()
+    writer = df.observe(size, _total_bytes(df)).write
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return Table(spark.read.schema(df.schema).parquet(path), size.get["n_bytes"])
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
-    """Measure ``df`` with one small aggregation: text bytes plus a cost per row."""
-    text = [
-        F.octet_length(F.coalesce(F.col(c), F.lit("")))
-        for c, kind in df.dtypes if kind == "string"
-    ]
-    row_bytes = sum(text, F.lit(ROW_OVERHEAD_BYTES))
-    measured = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("n")).first()["n"]
-    return measured <= limit
+def measure(df: DataFrame) -> Table:
+    """The size of a table that was not published here, by one small aggregation."""
+    return Table(df, df.agg(_total_bytes(df)).first()["n_bytes"])
 
 
 def join_lookup(
     facts: DataFrame,
-    lookup: DataFrame,
+    lookup: Table,
     on: list[str],
     spread_by: list[str],
     how: str = "inner",
@@ -76,12 +98,12 @@ def join_lookup(
     is. Beyond the limit both sides are shuffled with a salt: the lookup is
     repeated once per salt and the rows of a hot key spread over all of them.
     """
-    if fits_broadcast(lookup, limit):
-        return facts.join(F.broadcast(lookup), on, how)
+    if lookup.n_bytes <= limit:
+        return facts.join(F.broadcast(lookup.rows), on, how)
     salted = facts.withColumn(
         "_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALT_BUCKETS)).cast("int")
     )
-    repeated = lookup.withColumn(
+    repeated = lookup.rows.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))
     )
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
