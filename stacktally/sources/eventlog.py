@@ -36,14 +36,17 @@ _LINE = (
 )
 
 
-def _with_app_id(lines: DataFrame) -> DataFrame:
-    """The application id, taken from the log's file name."""
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+def app_id_of(path: Column) -> Column:
+    """The application id in the name of a log file."""
+    name = F.element_at(F.split(path, "/"), -1)
     name = F.regexp_replace(name, r"^events_\d+_", "")
     name = F.regexp_replace(name, r"\.(inprogress|compact|zstd|lz4|lzf|snappy)", "")
     # A cluster manager may append the number of the application attempt.
-    name = F.regexp_replace(name, r"^(application_\d+_\d+)_\d+$", "$1")
-    return lines.select(name.alias("app_id"), "value")
+    return F.regexp_replace(name, r"^(application_\d+_\d+)_\d+$", "$1")
+
+
+def _with_app_id(lines: DataFrame) -> DataFrame:
+    return lines.select(app_id_of(F.col("_metadata.file_path")).alias("app_id"), "value")
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
