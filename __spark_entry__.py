@@ -226,7 +226,7 @@ def _owners(log: DataFrame) -> DataFrame:
 def _shares(spark: SparkSession, sf_dir: str, metric_type: str | None = None) -> DataFrame:
     land = fx.land(spark, sf_dir)
     only = {"profile_type": metric_type} if metric_type else {}
-    usage = w.publish(_usage(land, **only), "usage").rows
+    usage = w.publish(_usage(land, **only), "usage")
     log = e.land_events(land.log)
     expected = report.expected_tasks(
         e.job_events(log), e.stage_events(log), e.task_events(log), u.job_total(usage)
@@ -404,27 +404,27 @@ FROM base
 """)
 def frame_match(spark, sf_dir):
     land = fx.land(spark, sf_dir)
-    classes = w.measure(r.impl_to_udf(r.resolve_registry(land.registry)))
+    classes = hotspots.measured_classes(r.resolve_registry(land.registry))
     return matching.match_frames(p.frame_names(land.profiles), classes)
 
 
 @query("""
-SELECT app_id, profile_type, unit, id, ts_ms, udf, is_total, raw FROM maxima
+SELECT app_id, metric, unit, id, ts_ms, udf, is_total, raw FROM maxima
 """)
 def inclusive_max(spark, sf_dir):
     land = fx.land(spark, sf_dir)
     frames = hotspots.attributed_frames(land.profiles, r.resolve_registry(land.registry))
     return u.inclusive_max(frames).select(
-        "app_id", "profile_type", "unit", "id", _ms("ts").alias("ts_ms"), "udf", "is_total", "raw"
+        "app_id", "metric", "unit", "id", _ms("ts").alias("ts_ms"), "udf", "is_total", "raw"
     )
 
 
-@query("SELECT app_id, profile_type, unit, id, udf, is_total, raw, ts_ms FROM latest")
+@query("SELECT app_id, metric, unit, id, udf, is_total, raw, ts_ms FROM latest")
 def latest_usage(spark, sf_dir):
     land = fx.land(spark, sf_dir)
     frames = hotspots.attributed_frames(land.profiles, r.resolve_registry(land.registry))
     return u.latest_usage(u.inclusive_max(frames)).select(
-        "app_id", "profile_type", "unit", "id", "udf", "is_total", "raw", _ms("ts").alias("ts_ms")
+        "app_id", "metric", "unit", "id", "udf", "is_total", "raw", _ms("ts").alias("ts_ms")
     )
 
 
@@ -602,7 +602,7 @@ class _Feed:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.root = spark, w.new_path(spark, "stream")
         self.landing = fx.land(spark, sf_dir)
-        self.owners = w.publish(_owners(self.landing.log), "owners").rows
+        self.owners = w.publish(_owners(self.landing.log), "owners")
         self.profiles, self.lines = f"{self.root}/profiles", f"{self.root}/lines"
         self.usage = f"{self.root}/usage"
 

@@ -1,12 +1,18 @@
 """Which registered function a stack frame belongs to.
 
 A frame belongs to a function if it contains the function's class path anywhere.
-Comparing every frame with every class would be a cross join, so each class path
-gets an anchor: one of its substrings of a fixed size. A frame can contain the
-path only if it contains the anchor, so frames and classes meet in an equi-join
-of frame substrings with anchors, and only those pairs are compared in full. The
-anchor is the substring shared by the fewest classes of the application, which
-keeps classes with a common package or a common ending apart.
+Comparing every frame with every class would be a cross join, so both sides are
+described by hashes of short substrings, and only pairs that share one are
+compared in full.
+
+Of a text, the substrings of eight characters with the smallest hash among five
+neighbours are kept (minimizers, as in winnowing for document fingerprints). All
+neighbours inside a class path are neighbours in every frame that contains the
+path, so what is kept of the path is kept of the frame: a join on one of the
+path's hashes finds every frame. Joined on is the hash shared by the fewest
+classes of the application, which keeps classes with a common package or a common
+ending apart. Paths too short for that use all their substrings of four or of one
+characters, and frames are cut that finely only if such a class exists.
 """
 
 from __future__ import annotations
@@ -18,65 +24,101 @@ from stacktally import model as m
 from stacktally import workspace as w
 from stacktally.functions import columns as c
 
-# Sizes an anchor can have: the largest one the class path is long enough for.
-ANCHOR_SIZES = (12, 4, 1)
+GRAM, NEIGHBOURS = 8, 5
+# The shortest path each way of cutting serves, and the size of its pieces.
+LONG, MEDIUM, SHORT = GRAM + NEIGHBOURS - 1, 4, 1
+PIECE = {LONG: GRAM, MEDIUM: MEDIUM, SHORT: SHORT}
 
 
-def _anchor_size(path: Column) -> Column:
-    size = F.lit(ANCHOR_SIZES[-1])
-    for n in reversed(ANCHOR_SIZES[:-1]):
-        size = F.when(F.length(path) >= n, n).otherwise(size)
-    return size
+def _cut_of(path: Column) -> Column:
+    n = F.length(path)
+    return F.when(n >= LONG, LONG).when(n >= MEDIUM, MEDIUM).otherwise(SHORT)
 
 
-def anchors(registry: DataFrame) -> DataFrame:
-    """``app_id, impl, udf, path, gram``: one row per class with its rarest substring."""
-    path = F.col("path")
-    classes = (
-        registry.select("app_id", "impl", "udf", c.impl_path(F.col("impl")).alias("path"))
-        .filter(F.length(path) > 0)
+def _pieces(text: Column, size: int) -> Column:
+    """Hashes of all substrings of one size, in order."""
+    last = F.length(text) - size + 1
+    return F.when(
+        last >= 1,
+        F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(text, i, F.lit(size)))),
+    )
+
+
+def _minimizers(hashes: Column) -> Column:
+    last = F.size(hashes) - NEIGHBOURS + 1
+    return F.when(
+        last >= 1,
+        F.transform(
+            F.sequence(F.lit(0), last - 1),
+            lambda i: F.least(*[F.get(hashes, i + F.lit(d)) for d in range(NEIGHBOURS)]),
+        ),
     )
-    size = _anchor_size(path)
-    grams = (
-        classes.select(
-            "app_id", "impl", "udf", "path", size.alias("n"),
-            F.explode(F.sequence(F.lit(1), F.length(path) - size + 1)).alias("at"),
+
+
+def _hash_rows(texts: DataFrame, text: str, cuts: Column | list[int]) -> DataFrame:
+    """One row per distinct hash of ``text``; ``cuts`` is a list, or a column with one cut.
+
+    The pieces pass through a generator of one row, so that they are computed
+    once and not again for every neighbour.
+    """
+    column = F.col(text)
+    offered = list(PIECE) if isinstance(cuts, Column) else cuts
+    wanted = lambda cut, value: F.when(cuts == cut, value) if isinstance(cuts, Column) else value
+    pieces = F.struct(*[wanted(cut, _pieces(column, PIECE[cut])).alias(f"cut{cut}") for cut in offered])
+    cut_texts = texts.select(*texts.columns, F.explode(F.array(pieces)).alias("pieces"))
+    kept = [
+        F.coalesce(
+            _minimizers(F.col(f"pieces.cut{cut}")) if cut == LONG else F.col(f"pieces.cut{cut}"),
+            F.array().cast("array<bigint>"),
         )
-        .select("app_id", "impl", "udf", "path", F.substring(path, F.col("at"), F.col("n")).alias("gram"))
+        for cut in offered
+    ]
+    return cut_texts.select(
+        *texts.columns, F.explode(F.array_distinct(F.concat(*kept))).alias("gram")
     )
+
+
+def anchors(registry: DataFrame) -> DataFrame:
+    """``app_id, impl, udf, path, gram``: one row per class with its rarest hash."""
+    classes = registry.select(
+        "app_id", "impl", "udf", c.impl_path(F.col("impl")).alias("path")
+    ).filter(F.length("path") > 0)
+    grams = _hash_rows(classes, "path", _cut_of(F.col("path")))
     shared_by = grams.groupBy("app_id", "gram").agg(F.count("*").alias("n"))
     return (
         grams.join(shared_by, ["app_id", "gram"])
         .groupBy("app_id", "impl", "udf", "path")
-        .agg(F.min(F.struct("n", "gram")).alias("best"))
-        .select("app_id", "impl", "udf", "path", F.col("best.gram").alias("gram"))
+        .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     )
 
 
+def shortest_path() -> Column:
+    """To be measured with a table of classes; decides how finely frames are cut."""
+    return F.min(F.nullif(F.length("impl"), F.lit(0))).alias("shortest")
+
+
 def match_frames(
     names: DataFrame, registry: w.Table, limit: int = w.BROADCAST_LIMIT_BYTES
 ) -> DataFrame:
     """``app_id, frame, udf, impl`` for each distinct frame name that is a function's.
 
     Among several classes in one frame the longest wins, then the smallest name.
+    ``registry`` is measured with ``shortest_path()``.
     """
     found = anchors(registry.rows)
-    # An anchor row is its registry row, the class path once more and one substring.
+    # An anchor row is its registry row, the class path once more and one hash.
     if registry.n_bytes <= limit // 3:
         found = F.broadcast(found)
-    frame = F.col("frame")
-    grams = names.select(
-        "app_id", "frame",
-        F.explode(F.sequence(F.lit(1), F.length(frame))).alias("at"),
-    ).select(
-        "app_id", "frame",
-        F.explode(
-            F.array(*[F.substring(frame, F.col("at"), F.lit(n)) for n in ANCHOR_SIZES])
-        ).alias("gram"),
-    )
+    shortest = registry.measured["shortest"] or LONG
+    cuts = [LONG]
+    if shortest < LONG:
+        cuts.append(MEDIUM)
+    if shortest < MEDIUM:
+        cuts.append(SHORT)
+    grams = _hash_rows(names.select("app_id", "frame"), "frame", cuts)
     return (
         grams.join(found, ["app_id", "gram"])
-        .filter(F.contains(frame, F.col("path")))
+        .filter(F.contains("frame", F.col("path")))
         .groupBy("app_id", "frame")
         .agg(F.min(F.struct((-F.length("path")).alias("rank"), "impl", "udf")).alias("best"))
         .select("app_id", "frame", "best.udf", "best.impl")

@@ -13,26 +13,33 @@ def inclusive_max(attributed: DataFrame) -> DataFrame:
     """The largest inclusive value of each function within one profile snapshot.
 
     A maximum, not a sum: nested frames of a function are not counted twice,
-    and separate stacks of one function are not added up.
+    and separate stacks of one function are not added up. The total frame is the
+    row without a function. Profiles of other types than CPU and memory are left out.
     """
-    return attributed.groupBy(*m.PROFILE_KEY, "udf", "is_total").agg(
-        F.max("total").alias("raw")
+    metric = c.metric_of(F.col("profile_type"))
+    return (
+        attributed.withColumn("metric", metric)
+        .filter(F.col("metric").isNotNull())
+        .groupBy("app_id", "metric", "unit", "id", "ts", "udf")
+        .agg(F.max("total").alias("raw"))
+        .withColumn("is_total", F.col("udf").isNull())
     )
 
 
 def latest_usage(maxima: DataFrame) -> DataFrame:
     """The newest snapshot's value for each function; older deliveries are overwritten."""
-    return maxima.groupBy("app_id", "profile_type", "unit", "id", "udf", "is_total").agg(
-        F.max_by("raw", "ts").alias("raw"), F.max("ts").alias("ts")
+    return (
+        maxima.groupBy("app_id", "metric", "unit", "id", "udf")
+        .agg(F.max_by("raw", "ts").alias("raw"), F.max("ts").alias("ts"))
+        .withColumn("is_total", F.col("udf").isNull())
     )
 
 
 def in_display_units(latest: DataFrame) -> DataFrame:
     """The ``usage`` table: seconds for CPU, MiB for memory."""
-    metric = c.metric_of(F.col("profile_type"))
     return latest.select(
-        "app_id", "unit", "id", metric.alias("metric"), "udf", "is_total",
-        c.in_units(metric, F.col("raw")).alias("value"), "ts",
+        "app_id", "unit", "id", "metric", "udf", "is_total",
+        c.in_units(F.col("metric"), F.col("raw")).alias("value"), "ts",
     )
 
 

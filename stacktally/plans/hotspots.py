@@ -18,15 +18,19 @@ class Report(NamedTuple):
     usage: DataFrame
 
 
+def measured_classes(resolved: DataFrame) -> w.Table:
+    return w.measure(w.publish(r.impl_to_udf(resolved), "classes"), matching.shortest_path())
+
+
 def dictionary_of(profiles: DataFrame, resolved: DataFrame) -> w.Table:
     """Frame names of registered functions, as a table of known size.
 
     Profiles repeat the same names over and over, so the names are made distinct
     in a pass over the dictionaries and matched once.
     """
-    classes = w.publish(r.impl_to_udf(resolved), "classes")
+    classes = measured_classes(resolved)
     names = p.frame_names(profiles)
-    return w.publish(matching.match_frames(names, classes), "dictionary")
+    return w.measure(w.publish(matching.match_frames(names, classes), "dictionary"))
 
 
 def attributed_frames(profiles: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -49,7 +53,7 @@ def find_hotspots(
     settings: Settings = Settings(),
 ) -> Report:
     """Decode, attribute and report. The usage table is written once and read by all parts."""
-    usage = w.publish(task_usage(profiles, registrations), "usage").rows
+    usage = w.publish(task_usage(profiles, registrations), "usage")
     expected = report.expected_tasks(jobs, stages, tasks, u.job_total(usage))
     valid, rejected = p.validate_profiles(profiles)
     no_total = u.jobs_without_total(valid, usage)

@@ -97,7 +97,7 @@ def parse_events(log: DataFrame, *events: str) -> DataFrame:
 
 def land_events(log: DataFrame) -> DataFrame:
     """Parses a log once into a table partitioned by event, for several readers."""
-    return w.publish(parse_events(log, *EVENTS), "events", ["event"]).rows
+    return w.publish(parse_events(log, *EVENTS), "events", partition_by=["event"])
 
 
 def app_start(log: DataFrame) -> DataFrame:

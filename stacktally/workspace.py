@@ -8,11 +8,11 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A side is broadcast only if it was measured to be no larger than this.
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 # Fixed per-row cost added to the measured text when sizes are checked.
 ROW_OVERHEAD_BYTES = 64
 # Pieces a hot key is split into when a side is too large to broadcast.
@@ -56,32 +56,31 @@ def _total_bytes(df: DataFrame) -> Column:
 
 
 class Table(NamedTuple):
-    """A published table and its measured size."""
+    """A table with its measured size and whatever else was measured along with it."""
 
     rows: DataFrame
     n_bytes: int
+    measured: dict[str, int | None]
 
 
-def publish(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> Table:
+def publish(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives later joins the true
-    size of the table in place of an estimate. The size is observed by the job
-    that writes.
+    size of the table in place of an estimate.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    size = Observation()
-    writer = df.observe(size, _total_bytes(df)).write
+    path = new_path(df.sparkSession, name)
+    writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return Table(spark.read.schema(df.schema).parquet(path), size.get["n_bytes"])
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def measure(df: DataFrame) -> Table:
-    """The size of a table that was not published here, by one small aggregation."""
-    return Table(df, df.agg(_total_bytes(df)).first()["n_bytes"])
+def measure(df: DataFrame, *measures: Column) -> Table:
+    """Size and other named aggregates of a published table, by one pass over it."""
+    row = df.agg(_total_bytes(df), *measures).first().asDict()
+    return Table(df, row["n_bytes"], row)
 
 
 def join_lookup(

@@ -27,7 +27,7 @@ def brute_force(names, classes):
 
 def run(spark, names, classes, limit=w.BROADCAST_LIMIT_BYTES):
     names_df = spark.createDataFrame(sorted(set(names)), NAMES)
-    table = w.measure(spark.createDataFrame(classes, CLASSES))
+    table = w.measure(spark.createDataFrame(classes, CLASSES), matching.shortest_path())
     rows = matching.match_frames(names_df, table, limit).collect()
     assert len(rows) == len(set(rows))
     return {tuple(row) for row in rows}
@@ -82,14 +82,20 @@ def test_classes_that_differ_in_a_few_letters(spark):
 def test_anchor_is_the_rarest_substring(spark):
     classes = [("a", f"com.acme.jobs.{c}.Transform", c) for c in ("left", "right", "middle")]
     rows = matching.anchors(spark.createDataFrame(classes, CLASSES)).collect()
-    assert len({row.gram for row in rows}) == 3
-    assert all(row.gram in row.path for row in rows)
+    assert len(rows) == len({row.gram for row in rows}) == 3
+
+
+def test_long_paths_keep_a_fraction_of_their_pieces(spark):
+    names = [("a", f"com/acme/jobs/Transform{i}$$anonfun.apply/{i * 7919}") for i in range(200)]
+    df = spark.createDataFrame(names, NAMES)
+    rows = matching._hash_rows(df, "frame", [matching.LONG]).count()
+    assert 0 < rows < 0.5 * sum(len(frame) for _, frame in names)
 
 
 def test_no_cross_join(spark):
     names = spark.createDataFrame(NAMES_SMALL, NAMES)
     for limit in (0, w.BROADCAST_LIMIT_BYTES):
-        table = w.measure(spark.createDataFrame(CLASSES_SMALL, CLASSES))
+        table = w.measure(spark.createDataFrame(CLASSES_SMALL, CLASSES), matching.shortest_path())
         plan = matching.match_frames(names, table, limit)._jdf.queryExecution().toString()
         assert "NestedLoopJoin" not in plan and "Cartesian" not in plan
 

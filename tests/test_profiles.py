@@ -55,7 +55,7 @@ def registry_rows(spark, *pairs, app="a"):
 
 
 def latest_of(spark, profiles, registry):
-    classes = w.measure(r.impl_to_udf(r.resolve_registry(registry)))
+    classes = w.measure(r.impl_to_udf(r.resolve_registry(registry)), matching.shortest_path())
     dictionary = w.measure(matching.match_frames(p.frame_names(profiles), classes))
     frames = matching.attribute(p.decode_frames(p.valid_profiles(profiles)), dictionary)
     rows = u.latest_usage(u.inclusive_max(frames)).collect()

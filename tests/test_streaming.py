@@ -3,8 +3,6 @@
 import datetime as dt
 import itertools
 
-import pytest
-
 from stacktally import fixtures as fx
 from stacktally import model as m
 from stacktally.model import Settings
@@ -181,9 +179,7 @@ def test_settings_bound_the_wait():
     assert Settings(upload_interval_ms=500, poll_attempts=3).give_up_ms == 3_500
 
 
-@pytest.mark.parametrize("step", range(3))
-def test_fixture_steps_cover_all_rows(spark, landing, step):
-    profiles, lines = fx.stream_steps(spark, landing)[step]
-    total = [sum(x[i].count() for x in fx.stream_steps(spark, landing)) for i in (0, 1)]
-    assert profiles.count() <= total[0] and lines.count() <= total[1]
-    assert total[0] == landing.profiles.count() + 2
+def test_fixture_steps_cover_all_rows(spark, landing):
+    steps = fx.stream_steps(spark, landing)
+    assert sum(profiles.count() for profiles, _ in steps) == landing.profiles.count() + 2
+    assert all(lines.count() > 0 for _, lines in steps)
