@@ -226,10 +226,10 @@ def _owners(log: DataFrame) -> DataFrame:
 def _shares(spark: SparkSession, sf_dir: str, metric_type: str | None = None) -> DataFrame:
     land = fx.land(spark, sf_dir)
     only = {"profile_type": metric_type} if metric_type else {}
-    usage = w.publish(_usage(land, **only), "usage")
+    usage = w.publish(_usage(land, **only), "usage", partition_by=["unit"])
     log = e.land_events(land.log)
-    expected = report.expected_tasks(
-        e.job_events(log), e.stage_events(log), e.task_events(log), u.job_total(usage)
+    expected = hotspots.expected_of(
+        e.job_events(log), e.stage_events(log), e.task_events(log), usage
     )
     return report.usage_share(expected, usage)
 

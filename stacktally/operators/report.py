@@ -6,29 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stacktally import model as m
+from stacktally import workspace as w
 from stacktally.functions import columns as c
 from stacktally.operators import lifecycle
 
 
-def expected_tasks(
-    jobs: DataFrame, stages: DataFrame, tasks: DataFrame, totals: DataFrame
-) -> DataFrame:
-    """One row per task and metric that the report of a finished job covers.
+def covered_stages(jobs: DataFrame, stages: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row per stage and metric that the report of a finished job covers.
 
     Walks the job's own stage list, so a stage listed by two jobs appears under
     both; stages never submitted contribute nothing; a job whose total is unknown
-    in a metric is left out in that metric. The total is joined to the few job
-    rows first: joined to usage later it would gather a large job on one key.
+    in a metric is left out in that metric. Everything that is known per job or
+    stage is joined here, before any task: a large job's tasks never meet on one key.
     """
     finished = jobs.filter(F.col("end_ts").isNotNull())
     listed = lifecycle.job_stages(finished).join(totals, ["app_id", "job_id"])
-    reached = lifecycle.tasks_of_stage(stages, tasks).select(
-        "app_id", "stage_id", "task_id", F.col("end_ts").isNotNull().alias("ended")
+    return listed.join(lifecycle.latest_attempt(stages), ["app_id", "stage_id"]).select(
+        "app_id", "stage_id", "attempt", "job_id", "metric", "job_total"
     )
-    return reached.join(
-        listed.select("app_id", "job_id", "stage_id", "metric", "job_total"),
-        ["app_id", "stage_id"],
+
+
+def expected_tasks(covered: w.Table, tasks: DataFrame) -> DataFrame:
+    """One row per task and metric that the reports cover.
+
+    Tasks of earlier attempts of a stage are dropped.
+    """
+    rows = tasks.select(
+        "app_id", "stage_id", "attempt", "task_id", F.col("end_ts").isNotNull().alias("ended")
     )
+    on = ["app_id", "stage_id", "attempt"]
+    return w.join_lookup(rows, covered, on, spread_by=["task_id"]).drop("attempt")
 
 
 def task_rows(usage: DataFrame) -> DataFrame:

@@ -44,6 +44,14 @@ def task_usage(profiles: DataFrame, registrations: DataFrame) -> DataFrame:
     return u.in_display_units(u.latest_usage(u.inclusive_max(frames)))
 
 
+def expected_of(
+    jobs: DataFrame, stages: DataFrame, tasks: DataFrame, usage: DataFrame
+) -> DataFrame:
+    """The tasks that reports on ``usage`` cover, from a table of stages of known size."""
+    covered = w.publish(report.covered_stages(jobs, stages, u.job_total(usage)), "covered")
+    return report.expected_tasks(w.measure(covered), tasks)
+
+
 def find_hotspots(
     profiles: DataFrame,
     jobs: DataFrame,
@@ -53,8 +61,8 @@ def find_hotspots(
     settings: Settings = Settings(),
 ) -> Report:
     """Decode, attribute and report. The usage table is written once and read by all parts."""
-    usage = w.publish(task_usage(profiles, registrations), "usage")
-    expected = report.expected_tasks(jobs, stages, tasks, u.job_total(usage))
+    usage = w.publish(task_usage(profiles, registrations), "usage", partition_by=["unit"])
+    expected = expected_of(jobs, stages, tasks, usage)
     valid, rejected = p.validate_profiles(profiles)
     no_total = u.jobs_without_total(valid, usage)
     return Report(

@@ -91,7 +91,7 @@ def join_lookup(
     how: str = "inner",
     limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
-    """Inner or left join of a large table with a lookup that has one row per key.
+    """Inner or left join of a large table with a lookup of few rows per key.
 
     A lookup measured to be small is broadcast, so the large side stays where it
     is. Beyond the limit both sides are shuffled with a salt: the lookup is

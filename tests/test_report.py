@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stacktally import model as m
+from stacktally import workspace as w
 from stacktally.operators import lifecycle as lc, report, usage as u
 
 T0 = dt.datetime(2024, 1, 1)
@@ -71,7 +72,8 @@ def tables(spark):
     add("a", "task", 50, 10, 10, "g")
     add("b", "task", 10, 50, 1, "f")
     usage = spark.createDataFrame(rows, m.USAGE)
-    expected = report.expected_tasks(jobs, stages, tasks, u.job_total(usage))
+    covered = w.measure(report.covered_stages(jobs, stages, u.job_total(usage)))
+    expected = report.expected_tasks(covered, tasks)
     return jobs, stages, tasks, usage, expected
 
 
@@ -83,6 +85,14 @@ def test_expected_tasks(tables):
     assert got == want
 
 
+def test_large_lookups_are_salted(tables):
+    jobs, stages, tasks, usage, expected = tables
+    covered = w.measure(report.covered_stages(jobs, stages, u.job_total(usage)))
+    salted = report.expected_tasks(covered._replace(n_bytes=w.BROADCAST_LIMIT_BYTES + 1), tasks)
+    assert "_salt" in salted._jdf.queryExecution().toString()
+    assert sorted(salted.select(expected.columns).collect()) == sorted(expected.collect())
+
+
 def test_threshold_is_inclusive_and_by_metric(tables):
     shares = report.usage_share(tables[4], tables[3])
     rows = report.over_threshold(shares, 25.0, 25.0).collect()
