@@ -3,7 +3,7 @@
 from stacktally.model import Settings
 from stacktally.plans.hotspots import Report, find_hotspots, task_usage
 from stacktally.sources.eventlog import (
-    app_start, job_events, read_event_log, stage_events, stream_events, task_events,
+    app_start, job_events, land_events, read_event_log, stage_events, stream_events, task_events,
 )
 from stacktally.sources.tables import (
     read_profiles, read_registry, stream_profiles, write_findings, write_missing,
@@ -11,7 +11,8 @@ from stacktally.sources.tables import (
 )
 
 __all__ = [
-    "Report", "Settings", "app_start", "find_hotspots", "job_events", "read_event_log",
+    "Report", "Settings", "app_start", "find_hotspots", "job_events", "land_events",
+    "read_event_log",
     "read_profiles", "read_registry", "stage_events", "stream_events", "stream_profiles",
     "task_events", "task_usage", "write_findings", "write_missing", "write_profiles",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -11,11 +11,34 @@ from stacktally.model import Settings
 from stacktally.operators import matching, profiles as p, registry as r, report, usage as u
 
 
-class Report(NamedTuple):
-    findings: DataFrame
-    missing: DataFrame
-    rejected: DataFrame
+@dataclass(frozen=True)
+class Report:
+    """A written ``usage`` table and the questions asked of it; each is planned when read."""
+
     usage: DataFrame
+    expected: DataFrame
+    profiles: DataFrame
+    registrations: DataFrame
+    settings: Settings
+
+    @property
+    def findings(self) -> DataFrame:
+        """Functions at or over their threshold."""
+        return report.findings(
+            self.expected, self.usage, r.resolve_registry(self.registrations),
+            self.settings.cpu_threshold, self.settings.mem_threshold,
+        )
+
+    @property
+    def missing(self) -> DataFrame:
+        """Tasks without usage."""
+        return report.missing_profiles(self.expected, self.usage)
+
+    @property
+    def rejected(self) -> DataFrame:
+        """Profiles that could not be used, and job profiles without a total."""
+        valid, rejected = p.validate_profiles(self.profiles)
+        return rejected.unionByName(u.jobs_without_total(valid, self.usage))
 
 
 def measured_classes(resolved: DataFrame) -> w.Table:
@@ -63,16 +86,4 @@ def find_hotspots(
     """Decode, attribute and report. The usage table is written once and read by all parts."""
     usage = w.publish(task_usage(profiles, registrations), "usage", partition_by=["unit"])
     expected = expected_of(jobs, stages, tasks, usage)
-    valid, rejected = p.validate_profiles(profiles)
-    no_total = u.jobs_without_total(valid, usage)
-    return Report(
-        findings=report.findings(
-            expected, usage, r.resolve_registry(registrations),
-            settings.cpu_threshold, settings.mem_threshold,
-        ),
-        missing=report.missing_profiles(expected, usage),
-        rejected=rejected.unionByName(no_total),
-        usage=usage,
-    )
-
-
+    return Report(usage, expected, profiles, registrations, settings)
