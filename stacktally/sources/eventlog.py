@@ -22,18 +22,29 @@ STAGE_SUBMITTED = "SparkListenerStageSubmitted"
 TASK_START = "SparkListenerTaskStart"
 TASK_END = "SparkListenerTaskEnd"
 
-EVENTS = (APP_START, JOB_START, JOB_END, STAGE_SUBMITTED, TASK_START, TASK_END)
-
-# The fields of all six events; absent ones are null.
-_LINE = (
-    "Event STRING, `App Name` STRING, `Timestamp` BIGINT, "
-    "`Job ID` BIGINT, `Stage IDs` ARRAY<BIGINT>, `Submission Time` BIGINT, "
-    "`Completion Time` BIGINT, `Job Result` STRUCT<Result: STRING>, "
-    "`Stage Info` STRUCT<`Stage ID`: BIGINT, `Stage Attempt ID`: BIGINT, "
-    "`Submission Time`: BIGINT>, `Stage ID` BIGINT, `Stage Attempt ID` BIGINT, "
-    "`Task End Reason` STRUCT<Reason: STRING>, "
-    "`Task Info` STRUCT<`Task ID`: BIGINT, `Launch Time`: BIGINT, `Finish Time`: BIGINT>"
-)
+_TYPES = {
+    "App Name": "STRING",
+    "Timestamp": "BIGINT",
+    "Job ID": "BIGINT",
+    "Stage IDs": "ARRAY<BIGINT>",
+    "Submission Time": "BIGINT",
+    "Completion Time": "BIGINT",
+    "Job Result": "STRUCT<Result: STRING>",
+    "Stage Info": "STRUCT<`Stage ID`: BIGINT, `Stage Attempt ID`: BIGINT, `Submission Time`: BIGINT>",
+    "Stage ID": "BIGINT",
+    "Stage Attempt ID": "BIGINT",
+    "Task Info": "STRUCT<`Task ID`: BIGINT, `Launch Time`: BIGINT, `Finish Time`: BIGINT>",
+    "Task End Reason": "STRUCT<Reason: STRING>",
+}
+_FIELDS = {
+    APP_START: ("App Name", "Timestamp"),
+    JOB_START: ("Job ID", "Stage IDs", "Submission Time"),
+    JOB_END: ("Job ID", "Completion Time", "Job Result"),
+    STAGE_SUBMITTED: ("Stage Info",),
+    TASK_START: ("Stage ID", "Stage Attempt ID", "Task Info"),
+    TASK_END: ("Stage ID", "Stage Attempt ID", "Task Info", "Task End Reason"),
+}
+EVENTS = tuple(_FIELDS)
 
 
 def app_id_of(path: Column) -> Column:
@@ -63,7 +74,7 @@ def stream_events(spark: SparkSession, path: str, max_files: int | None = None)
 
 
 def parse_events(log: DataFrame, *events: str) -> DataFrame:
-    """One typed row per line of the chosen events.
+    """One typed row per line of the chosen events; only their fields are parsed.
 
     A table of such rows is only filtered, so all readers below accept either.
     """
@@ -71,10 +82,14 @@ def parse_events(log: DataFrame, *events: str) -> DataFrame:
         return log.filter(F.col("event").isin(*events))
     mentioned = reduce(Column.__or__, [F.contains("value", F.lit(e)) for e in events])
     millis = lambda field: F.timestamp_millis(F.col(field))
+    parsed = {field for event in events for field in _FIELDS[event]}
+    schema = ", ".join(["Event STRING"] + [f"`{f}` {_TYPES[f]}" for f in _TYPES if f in parsed])
+    absent = {f: F.lit(None).cast(kind) for f, kind in _TYPES.items() if f not in parsed}
     return (
         log.filter(mentioned)
-        .select("app_id", F.inline(F.array(F.from_json("value", _LINE))))
+        .select("app_id", F.inline(F.array(F.from_json("value", schema))))
         .filter(F.col("Event").isin(*events))
+        .withColumns(absent)
         .select(
             "app_id",
             F.col("Event").alias("event"),
