@@ -26,6 +26,12 @@ from stacktally.streaming import jobs as sj
 from stacktally.streaming import run
 from stacktally.streaming import usage as su
 
+try:
+    import corpus_pipeline
+    from stacktally.llm import queries as llm
+except ModuleNotFoundError:  # the operators of a training-data pipeline are an optional part
+    corpus_pipeline = llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -55,11 +61,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    more = {**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}
+    return {**_QUERIES, **more}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return {**_ORACLES, **(llm.oracle_sql() if llm else {})}
 
 
 # --- the expected tables, from the base table --------------------------------

@@ -14,7 +14,7 @@ def con(sf_dir):
     return oracle.connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(entries.queries()))
+@pytest.mark.parametrize("name", list(entries._QUERIES))
 def test_query_matches_sql(spark, sf_dir, con, name):
     result = entries.queries()[name](spark, sf_dir)
     assert oracle.compare(result, con, entries.oracle_sql()[name]) > 0
@@ -29,7 +29,7 @@ def test_every_listed_query_is_registered():
         if line.startswith("|") and re.fullmatch(r"[A-Z]\d+", cells[0]):
             listed |= set(re.findall(r"`([a-z_]+)`", cells[-1]))
     assert listed and listed <= set(entries.queries())
-    assert set(entries.queries()) == set(entries.oracle_sql())
+    assert set(entries._QUERIES) == set(entries._ORACLES)
 
 
 def test_entry(spark):
