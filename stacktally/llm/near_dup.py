@@ -27,9 +27,12 @@ from stacktally import workspace as w
 from stacktally.llm.common import components, text_key, whole
 
 SHINGLE_WORDS = 5
-KEPT_IN_ORDER = 3
+KEPT_IN_ORDER = 4
 SKETCHES = 24
 SIMILARITY = 0.8
+# Later occurrences of a k-mer are not sampled: filler that repeats one phrase would otherwise
+# fill the sketches of texts that have nothing else in common.
+MOST_OCCURRENCES = 4
 # k-mers hashed at once, times sketches.
 _CELLS = 4_000_000
 # Cells of one alignment matrix row: pairs times band width.
@@ -52,8 +55,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def labelled_kmers(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash per k-mer and occurrence of it, in text order; one for a text below k words."""
+def labelled_kmers(words: np.ndarray, k: int, most: int = MOST_OCCURRENCES) -> np.ndarray:
+    """A hash per k-mer and occurrence of it up to the ``most``-th, in text order; one for a
+    text below k words."""
     k = min(k, len(words))
     n = len(words) - k + 1
     h = np.zeros(n, dtype=np.uint64)
@@ -66,7 +70,7 @@ def labelled_kmers(words: np.ndarray, k: int) -> np.ndarray:
         at = np.arange(n)
         occurrence = np.empty(n, dtype=np.uint64)
         occurrence[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-        h = h + occurrence * np.uint64(0xA24BAED4963EE407)
+        h = (h + occurrence * np.uint64(0xA24BAED4963EE407))[occurrence < most]
     return _mix(h)
 
 
@@ -294,7 +298,8 @@ def classes(
     Texts of one ``comp`` are linked by pairs whose word edit similarity, 1 - edits / words of
     the longer text, is at least ``similarity``. Words are lower case between white space.
     Two texts are compared if any of ``sketches`` order min-hashes of ``kept`` k-mers is equal:
-    at a share of 0.8 equal shingles a pair is missed with probability below 1e-6. Null and
+    at a share of 0.8 equal shingles a pair is missed with probability below 1e-5, at 0.6 below
+    0.05. Null and
     empty texts, and texts of white space only, are one class. An empty table gives no rows.
     """
     signature = _signature(shingle_words, kept, sketches)
@@ -307,7 +312,7 @@ def classes(
             F.first("sketches").alias("sketches"),
         ), "near_nodes",
     )
-    met = w.publish(nodes.select("key", "n_words", F.explode("sketches").alias("bucket")).distinct(), "near_met")
+    met = w.publish(nodes.select("key", "n_words", F.explode("sketches").alias("bucket")), "near_met")
 
     pairs = w.publish(_hub_pairs(met, similarity), "near_pairs")
     links = w.publish(_similar(pairs, _texts_of(docs, _keys(pairs)), similarity), "near_links")
