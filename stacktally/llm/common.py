@@ -17,6 +17,14 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as make it differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text: equal texts have equal keys."""
     return F.unhex(F.md5(whole(text)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from stacktally import workspace as w
-from stacktally.llm.common import text_key, whole
+from stacktally.llm.common import free_name, text_key, whole
 
 SEED_TOKENS = 5
 COVERAGE = 0.6
@@ -147,16 +147,11 @@ def contaminated_texts(
         "items",
     )
     seeds = _seeds(seed_tokens)
-    item_seeds = items.select(
-        "item_id", "item", F.size(F.array_distinct(F.split(F.lower("item"), r"\W+"))).alias("_n"),
-        F.explode(seeds("item")).alias("seed"),
-    ).drop("_n")
+    item_seeds = items.select("item_id", "item", F.explode(seeds("item")).alias("seed"))
     per_item = _lookup(item_seeds, "item_seeds")
     rows = docs.select(text_key(F.col("text")).alias("key"), whole(F.col("text")).alias("text"))
     met = rows.select("key", F.explode(seeds("text")).alias("seed")).join(per_item, "seed")
-    # Every seed covers at most seed_tokens of the item's tokens: too few seeds, too few tiles.
-    met = met.groupBy("key", "item_id", "item").agg(F.count_distinct("seed").alias("n_seeds"))
-    met = w.publish(met, "candidates")
+    met = w.publish(met.select("key", "item_id", "item").distinct(), "candidates")
     keys = _lookup(met.select("key").distinct(), "candidate_keys")
     texts = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     return met.join(texts, "key").select("key", "item_id", "item", "text").mapInPandas(
@@ -181,6 +176,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose text holds a test item; columns as they were."""
     found = contaminated_texts(docs, benchmark, **options).select("key").distinct()
-    keyed = docs.withColumn("_key", text_key(F.col("text")))
-    bad = _lookup(found.select(F.col("key").alias("_key")), "contaminated_keys")
-    return keyed.join(bad, "_key", "left_anti").drop("_key")
+    key = free_name(docs, "key")
+    bad = _lookup(found.select(F.col("key").alias(key)), "contaminated_keys")
+    return docs.withColumn(key, text_key(F.col("text"))).join(bad, key, "left_anti").drop(key)

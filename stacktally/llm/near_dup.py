@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
 from stacktally import workspace as w
-from stacktally.llm.common import components, text_key, whole
+from stacktally.llm.common import components, free_name, text_key, whole
 
 SHINGLE_WORDS = 5
 KEPT_IN_ORDER = 4
@@ -352,12 +352,12 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
 
     Columns and values of the kept rows are those of ``docs``.
     """
-    numbered = w.publish(docs.withColumn("_row", F.monotonically_increasing_id()), "near_rows")
+    row = free_name(docs, "row")
+    numbered = w.publish(docs.withColumn(row, F.monotonically_increasing_id()), "near_rows")
     named = classes(numbered, **options)
-    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
-    firsts = numbered.select("doc_id", "_row", text_key(F.col("text")).alias("key")).groupBy("key").agg(
-        F.min(rank).alias("first")
-    )
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(row).alias("row"))
+    firsts = numbered.select(text_key(F.col("text")).alias("key"), rank.alias("rank"))
+    firsts = firsts.groupBy("key").agg(F.min("rank").alias("first"))
     kept = named.join(firsts, "key").groupBy("comp").agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first._row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    kept = kept.select(F.col("first.row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)

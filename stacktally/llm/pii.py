@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stacktally.llm.common import whole
+from stacktally.llm.common import free_name, whole
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -493,14 +493,16 @@ def _finder(net: Network | None, with_text: bool):
     return finder
 
 
-def find(docs: DataFrame, net: Network | None, redacted: bool = False) -> DataFrame:
+def find(
+    docs: DataFrame, net: Network | None, redacted: bool = False, name: str = "pii"
+) -> DataFrame:
     """``docs`` with struct ``pii``: counts and text of the base spans, of all spans, and the
     redacted text if asked for.
 
     Spans are kind:start:end in code points. Whole texts are read; a null or empty text has no
     spans. Repeated rows get equal results; a column ``pii`` of ``docs`` is replaced.
     """
-    return docs.withColumn("pii", _finder(net, redacted)(whole(F.col("text"))))
+    return docs.withColumn(name, _finder(net, redacted)(whole(F.col("text"))))
 
 
 def scrub(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -508,12 +510,12 @@ def scrub(docs: DataFrame, net: Network | None) -> DataFrame:
 
     A null text stays null.
     """
-    wanted = docs.columns
-    found = find(docs, net, redacted=True)
-    found = found.withColumn("text", F.when(F.col("text").isNotNull(), F.col("pii.redacted")))
-    if "n_chars" in wanted:
+    name = free_name(docs, "pii")
+    found = find(docs, net, redacted=True, name=name)
+    found = found.withColumn("text", F.when(F.col("text").isNotNull(), F.col(f"{name}.redacted")))
+    if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         found = found.withColumn(
             "n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)
         )
-    return found.select(*[F.col(f"`{c}`") for c in wanted])
+    return found.drop(name)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stacktally.llm.common import whole
+from stacktally.llm.common import free_name, whole
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -85,30 +85,32 @@ def _measure(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([measure_text(t) for t in batch], columns=MEASURES)
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+def ledger(
+    docs: DataFrame, text: str = "text", measured: str = "measured", fail_bits: str = "fail_bits"
+) -> DataFrame:
     """``docs`` with struct ``measured`` and bit mask ``fail_bits``, one bit per rule.
 
     One narrow pass: no shuffle, and nothing is gathered but one batch of rows. A null text
     counts as empty and fails ``too_few_words``. Repeated rows are each measured; columns of
     ``docs`` are kept, except that ``measured`` and ``fail_bits`` are replaced.
     """
-    measured = docs.withColumn("measured", _measure(whole(F.col(text))))
+    found = docs.withColumn(measured, _measure(whole(F.col(text))))
     bits = F.lit(0).cast("bigint")
     for i, rule in enumerate(RULES):
-        expression = re.sub(r"\b(n_\w+|word_chars)\b", r"measured.\1", rule.fails)
+        expression = re.sub(r"\b(n_\w+|word_chars)\b", rf"`{measured}`.\1", rule.fails)
         bits = bits + F.when(F.expr(expression), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-    return measured.withColumn("fail_bits", bits)
+    return found.withColumn(fail_bits, bits)
 
 
-def passes(policy: Policy) -> Column:
+def passes(policy: Policy, fail_bits: str = "fail_bits") -> Column:
     """Whether a ledger row passes ``policy``."""
-    return F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("bigint")) == 0
+    return F.col(fail_bits).bitwiseAND(F.lit(policy.mask).cast("bigint")) == 0
 
 
 def keep(docs: DataFrame, policy: Policy = CURRENT, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass ``policy``, with the columns of ``docs``."""
-    wanted = docs.columns
-    return ledger(docs, text).filter(passes(policy)).select(*[F.col(f"`{c}`") for c in wanted])
+    measured, bits = free_name(docs, "measured"), free_name(docs, "fail_bits")
+    return ledger(docs, text, measured, bits).filter(passes(policy, bits)).drop(measured, bits)
 
 
 def ablations(kept: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFrame:
