@@ -12,6 +12,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that hold whole texts go to Python in batches of ``rows``, not of ten thousand, which
+    bounds the memory of a worker. A setting of the session, so queries and stages make it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def whole(text: Column) -> Column:
     """The text; a null text counts as empty."""
     return F.coalesce(text, F.lit(""))

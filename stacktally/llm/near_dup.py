@@ -34,7 +34,7 @@ SIMILARITY = 0.8
 # fill the sketches of texts that have nothing else in common.
 MOST_OCCURRENCES = 4
 # k-mers hashed at once, times sketches.
-_CELLS = 4_000_000
+_CELLS = 500_000
 # Cells of one alignment matrix row: pairs times band width.
 _BAND_CELLS = 60_000
 

@@ -76,7 +76,7 @@ class Encoder(dict):
     they have ``most_words`` words, and very long words are never kept: their size is bounded.
     """
 
-    def __init__(self, path: str, most_words: int = 1_500_000, longest_word: int = 40):
+    def __init__(self, path: str, most_words: int = 600_000, longest_word: int = 40):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer

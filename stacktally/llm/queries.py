@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stacktally.llm import (
     chat, decontam, html, licenses, near_dup, packing, pii, quality, sharding, toxicity,
 )
-from stacktally.llm.common import read
+from stacktally.llm.common import read, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,6 +20,7 @@ def tokenizer_path() -> str:
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read(spark, sf_dir, "documents")
     found = pii.find(docs.select("doc_id", "text"), pii.train(docs))
     return found.select(
@@ -33,18 +34,22 @@ def op2_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op5_pack(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
     scored = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels))
     spans = F.transform("toxicity.spans", lambda s: F.concat_ws(":", s["start"], s["end"]))
@@ -60,6 +65,7 @@ def op7_shard(spark, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     ledger = quality.ledger(read(spark, sf_dir, "documents").select("doc_id", "text"))
     measures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return ledger.select(
@@ -71,6 +77,7 @@ def op8_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def op9_html(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pages = html.extract(read(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", *[F.col(f"extracted.{c}").alias(c) for c in ("title", "text", "n_lines")])
 
