@@ -104,7 +104,9 @@ def decode_frames(valid: DataFrame) -> DataFrame:
             at(0).alias("off"),
             at(1).alias("total"),
             at(2).alias("self"),
-            F.get("names", at(3).cast("int")).alias("frame"),
+            F.get(
+                "names", F.when(at(3).between(F.lit(0), F.size("names") - 1), at(3)).cast("int")
+            ).alias("frame"),
         )
     )
 

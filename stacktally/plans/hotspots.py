@@ -64,7 +64,7 @@ def attributed_frames(profiles: DataFrame, resolved: DataFrame) -> DataFrame:
 def task_usage(profiles: DataFrame, registrations: DataFrame) -> DataFrame:
     """The ``usage`` table of all units found in ``profiles``."""
     frames = attributed_frames(profiles, r.resolve_registry(registrations))
-    return u.in_display_units(u.latest_usage(u.inclusive_max(frames)))
+    return u.in_display_units(u.latest_inclusive(frames))
 
 
 def expected_of(

@@ -73,6 +73,9 @@ def stream_events(spark: SparkSession, path: str, max_files: int | None = None)
     return _with_app_id(reader.text(path))
 
 
+MILLIS_RANGE = (-62_135_596_800_000, 253_402_300_799_999)
+
+
 def parse_events(log: DataFrame, *events: str) -> DataFrame:
     """One typed row per line of the chosen events; only their fields are parsed.
 
@@ -81,7 +84,10 @@ def parse_events(log: DataFrame, *events: str) -> DataFrame:
     if "value" not in log.columns:
         return log.filter(F.col("event").isin(*events))
     mentioned = reduce(Column.__or__, [F.contains("value", F.lit(e)) for e in events])
-    millis = lambda field: F.timestamp_millis(F.col(field))
+    # A time beyond the years 1 to 9999 is no time; one bad number must not stop the run.
+    millis = lambda field: F.when(
+        F.col(field).between(*MILLIS_RANGE), F.timestamp_millis(F.col(field))
+    )
     parsed = {field for event in events for field in _FIELDS[event]}
     schema = ", ".join(["Event STRING"] + [f"`{f}` {_TYPES[f]}" for f in _TYPES if f in parsed])
     absent = {f: F.lit(None).cast(kind) for f, kind in _TYPES.items() if f not in parsed}

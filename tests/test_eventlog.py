@@ -96,3 +96,10 @@ def test_application_id_from_the_file_name(spark, tmp_path, name, app_id):
     assert [r.app_id for r in e.read_event_log(spark, str(tmp_path)).collect()] == [app_id]
     named = spark.range(1).select(e.app_id_of(F.lit(f"file:/x/{name}")).alias("app_id"))
     assert named.first().app_id == app_id
+
+
+def test_an_absurd_time_is_no_time(spark):
+    line = '{"Event":"SparkListenerTaskEnd","Stage ID":1,"Stage Attempt ID":0,"Task End Reason":{"Reason":"Success"},"Task Info":{"Task ID":7,"Launch Time":%d,"Finish Time":9223372036854775807}}'
+    log = spark.createDataFrame([("a", line % 1000)], "app_id string, value string")
+    row, = e.parse_events(log, e.TASK_END).collect()
+    assert row["task_id"] == 7 and row["end_ts"] is None and row["start_ts"] is not None

@@ -175,3 +175,26 @@ def test_range_is_inclusive_at_both_ends(spark):
 def test_text_is_parsed_once(landing):
     plan = p.decode_frames(p.valid_profiles(landing.profiles))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_one_bad_index_stops_nothing(spark):
+    body = '{"flamebearer":{"names":["total"],"levels":[[0,7,0,3000000000,0,5,0,-1,0,3,0,0]]}}'
+    row = [("a", "s", m.CPU_PROFILE, m.TASK, 1, 1, body)]
+    profiles = spark.createDataFrame(
+        row, "app_id string, service_name string, profile_type string, unit string, id bigint, job_id bigint, body string"
+    ).withColumn("ts", F.timestamp_millis(F.lit(1000)))
+    frames = p.decode_frames(p.valid_profiles(profiles)).orderBy("total").collect()
+    assert [(r["total"], r["frame"]) for r in frames] == [(3, "total"), (5, None), (7, None)]
+
+
+def test_newest_maximum_needs_one_shuffle(spark):
+    rows = [("a", m.CPU_PROFILE, "task", 1, ts, udf, total)
+            for ts, udf, total in ((1, "f", 9), (2, "f", 3), (2, "f", 5), (2, None, 8), (1, None, 99))]
+    frames = spark.createDataFrame(
+        rows, "app_id string, profile_type string, unit string, id bigint, ts bigint, udf string, total bigint"
+    )
+    slow = u.latest_usage(u.inclusive_max(frames)).select("udf", "raw", "ts", "is_total")
+    fast = u.latest_inclusive(frames)
+    assert sorted(fast.select("udf", "raw", "ts", "is_total").collect(), key=repr) == sorted(slow.collect(), key=repr)
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
