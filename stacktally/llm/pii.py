@@ -449,11 +449,16 @@ def all_spans(net: Network | None, texts: list[str]) -> list[tuple[list[Span], l
     base = [base_spans(t) for t in texts]
     added = model_spans(net, texts) if net is not None else [[] for _ in texts]
     out = []
-    for found, more in zip(base, added):
+    for text, found, more in zip(texts, base, added):
         merged = list(found)
-        for kind, a, b in more:
-            if not any(a < y and x < b for _, x, y in merged):
-                merged.append((kind, a, b))
+        if more:
+            taken = bytearray(len(text))
+            for _, a, b in found:
+                taken[a:b] = b"\1" * (b - a)
+            for kind, a, b in more:
+                if not any(taken[a:b]):
+                    taken[a:b] = b"\1" * (b - a)
+                    merged.append((kind, a, b))
         merged.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
         out.append((found, merged))
     return out
