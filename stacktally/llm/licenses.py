@@ -46,11 +46,6 @@ TEMPLATES = (
 )
 
 
-def normalised(text: Column) -> Column:
-    """Lower case letters and digits, everything else as single spaces."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-
-
 def bigrams(text: Column) -> Column:
     """The different pairs of neighbouring words of a normalised text."""
     words = F.split(text, " ")
@@ -81,14 +76,19 @@ def scan(docs: DataFrame, dice: float = DICE, templates=TEMPLATES) -> DataFrame:
     """
     sets = [(name, template_bigrams(text)) for name, text in templates]
     least = min(_bounds(len(s), dice)[0] for _, s in sets)
-    text = whole(F.col("text"))
-    lines = F.split(text, "\n")
+    # One pass of the pattern per text: line ends are kept for the split, and the whole text is
+    # its lines put together again. Outer generators, as Spark guards inner ones by a filter
+    # that would compute their input a second time; the arrays of lines are never empty.
+    kept = F.regexp_replace(F.lower(whole(F.col("text"))), r"[^\p{L}\p{N}\n]+", " ")
+    docs = docs.select("doc_id", F.transform(F.split(kept, "\n"), lambda line: F.trim(line)).alias("lines"))
+    full = F.array_join(F.filter("lines", lambda line: line != ""), " ")
+    several = F.size("lines") > 1
     sections = docs.select(
-        "doc_id", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array(text), lines)).otherwise(lines)),
-        F.size(lines).alias("n_lines"),
+        "doc_id", F.size("lines").alias("n_lines"),
+        F.posexplode_outer(F.when(several, F.concat(F.array(full), "lines")).otherwise(F.col("lines"))),
     ).select(
         "doc_id", (F.col("pos") - F.when(F.col("n_lines") > 1, 1).otherwise(0)).alias("line"),
-        normalised(F.col("col")).alias("words"),
+        F.col("col").alias("words"),
     )
     # A text of k spaces has at most k bigrams.
     spaces = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
@@ -108,6 +108,7 @@ def scan(docs: DataFrame, dice: float = DICE, templates=TEMPLATES) -> DataFrame:
         value = F.greatest(*values) if len(values) > 1 else values[0]
         best.append(F.struct(F.lit(name).alias("license"), F.round(value, 6).alias("dice")))
     matches = F.filter(F.array(*best), lambda m: m["dice"] >= dice)
-    return sections.select("doc_id", "line", F.explode(matches).alias("m")).select(
+    matched = sections.select("doc_id", "line", F.explode_outer(matches).alias("m"))
+    return matched.filter("m IS NOT NULL").select(
         "doc_id", F.col("line").cast("int").alias("line"), "m.license", "m.dice"
     )
