@@ -23,7 +23,7 @@ from stacktally.plans import hotspots
 from stacktally.sources import eventlog as e
 from stacktally.sources import tables
 from stacktally.streaming import jobs as sj
-from stacktally.streaming import run
+from stacktally.streaming import reports, run
 from stacktally.streaming import usage as su
 
 try:
@@ -688,6 +688,41 @@ def stream_job_report(spark, sf_dir):
     return spark.read.parquet(path).filter(F.col("app_id") != fx.SENTINEL_APP)
 
 
+def _streamed_reports(spark: SparkSession, sf_dir: str) -> reports.Store:
+    """Applications land in two halves that mix all times; the first half with only some of its
+    profiles, the rest of those comes with the other half. All six kinds of events come from the
+    stream. Both steps report every job that has ended so far, so some jobs twice."""
+    landing = fx.land(spark, sf_dir)
+    root = w.new_path(spark, "reports")
+    store = reports.Store(spark, root).create()
+    profiles, lines = f"{root}/in/profiles", f"{root}/in/lines"
+    first = F.pmod(F.xxhash64("app_id"), F.lit(2)) == 0
+    early = first & (F.pmod("id", F.lit(2)) == 0)
+    later = F.lit("2099-01-01").cast("timestamp")
+    for step, (of_lines, of_profiles) in enumerate([(first, early), (~first, ~early)]):
+        tables.write_profiles(landing.profiles.filter(of_profiles), profiles, mode="append")
+        landing.log.filter(of_lines).write.mode("append").parquet(lines)
+        stream = tables.stream_profiles(spark, profiles)
+        run.drain(su.usage_writer(stream, landing.registry, store.path("usage")), f"{root}/ck/usage")
+        stream = spark.readStream.schema(m.LOG_LINE).parquet(lines)
+        run.drain(reports.event_writer(stream, store), f"{root}/ck/events")
+        reports.report_due(store, landing.registry, step, THRESHOLDS, later)
+    return store
+
+
+@query("""
+SELECT app_id, job_id, stage_id, task_id, metric, udf, impl, value, job_total, pct, message
+FROM finding
+""")
+def stream_findings(spark, sf_dir):
+    return reports.newest(_streamed_reports(spark, sf_dir), "findings")
+
+
+@query("SELECT app_id, job_id, stage_id, task_id, metric, message FROM missing")
+def stream_missing_report(spark, sf_dir):
+    return reports.newest(_streamed_reports(spark, sf_dir), "missing")
+
+
 # --- reports ----------------------------------------------------------------------
 
 @query("SELECT app_id, job_id, stage_id, task_id, metric, udf, is_total, value, job_total, pct FROM share")
