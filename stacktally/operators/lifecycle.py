@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stacktally import model as m
+from stacktally import workspace as w
 
 
 def job_stages(jobs: DataFrame) -> DataFrame:
@@ -39,12 +40,14 @@ def tasks_of_stage(stages: DataFrame, tasks: DataFrame) -> DataFrame:
 
     One row per task, not a list per stage: a stage may hold most tasks there are.
     """
-    return tasks.join(latest_attempt(stages), ["app_id", "stage_id", "attempt"])
+    latest = w.measure(w.publish(latest_attempt(stages), "attempts"))
+    return w.join_lookup(tasks, latest, ["app_id", "stage_id", "attempt"], spread_by=["task_id"])
 
 
 def task_to_job(tasks: DataFrame, owners: DataFrame) -> DataFrame:
     """Adds ``job_id``, null when no job lists the task's stage."""
-    return tasks.join(owners.select("app_id", "stage_id", "job_id"), ["app_id", "stage_id"], "left")
+    stages = w.measure(w.publish(owners.select("app_id", "stage_id", "job_id"), "owners"))
+    return w.join_lookup(tasks, stages, ["app_id", "stage_id"], spread_by=["task_id"], how="left")
 
 
 def known_tasks(tasks_with_job: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ GRAM, NEIGHBOURS = 8, 5
 # The shortest path each way of cutting serves, and the size of its pieces.
 LONG, MEDIUM, SHORT = GRAM + NEIGHBOURS - 1, 4, 1
 PIECE = {LONG: GRAM, MEDIUM: MEDIUM, SHORT: SHORT}
+_ATTRIBUTED = [*m.PROFILE_KEY, "frame", "total", "udf", "is_total"]
 
 
 def _cut_of(path: Column) -> Column:
@@ -128,19 +129,28 @@ def match_frames(
 def attribute(
     frames: DataFrame, dictionary: w.Table, limit: int = w.BROADCAST_LIMIT_BYTES
 ) -> DataFrame:
-    """Adds ``udf`` and ``is_total`` to the frames that count and drops the others.
+    """The profile key, ``frame, total, udf, is_total`` of the frames that count.
 
     A frame counts if its name is in ``dictionary`` (the result of
     ``match_frames``) or is the reserved total frame. A function whose class path
     occurs in the reserved word itself takes that frame over.
+
+    Frames stay where they are if the dictionary can be broadcast. Beyond ``limit`` only the
+    largest value of each name in a profile meets the dictionary, and totals meet the few
+    entries for the reserved word.
     """
-    looked_up = w.join_lookup(
-        frames,
-        dictionary._replace(rows=dictionary.rows.select("app_id", "frame", "udf")),
-        on=["app_id", "frame"],
-        spread_by=["profile_type", "unit", "id"],
-        how="left",
-        limit=limit,
+    frames = frames.select(*m.PROFILE_KEY, "frame", "total").filter(F.col("frame").isNotNull())
+    known = dictionary.rows.select("app_id", "frame", "udf")
+    total = F.col("frame") == m.TOTAL_FRAME
+    if dictionary.n_bytes <= limit:
+        looked_up = frames.join(F.broadcast(known), ["app_id", "frame"], "left")
+        found = F.col("udf").isNotNull()
+        return looked_up.filter(found | total).withColumn("is_total", ~found).select(*_ATTRIBUTED)
+    largest = w.publish(frames.groupBy(*m.PROFILE_KEY, "frame").agg(F.max("total").alias("total")), "largest")
+    spread_by = ["profile_type", "unit", "id"]
+    functions = w.join_split(largest, known, ["app_id", "frame"], spread_by)
+    taken = known.filter(total).select("app_id")
+    totals = w.join_split(largest.filter(total), taken, ["app_id"], spread_by, "left_anti")
+    return functions.withColumn("is_total", F.lit(False)).select(*_ATTRIBUTED).unionByName(
+        totals.withColumn("udf", F.lit(None).cast("string")).withColumn("is_total", F.lit(True)).select(*_ATTRIBUTED)
     )
-    known, total = F.col("udf").isNotNull(), F.col("frame") == m.TOTAL_FRAME
-    return looked_up.filter(known | total).withColumn("is_total", ~known)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stacktally import model as m
+from stacktally import workspace as w
 from stacktally.functions import columns as c
 
 
@@ -37,10 +38,12 @@ def in_range(profiles: DataFrame, start, until) -> DataFrame:
 
 def since_app_start(profiles: DataFrame, starts: DataFrame, until) -> DataFrame:
     """Profiles landed between the start of their own application and ``until``."""
-    bounds = starts.select("app_id", "start_ts")
+    bounds = w.measure(w.publish(starts.select("app_id", "start_ts"), "starts"))
     return (
-        profiles.filter(F.col("ts") <= F.lit(until).cast("timestamp"))
-        .join(bounds, "app_id")
+        w.join_lookup(
+            profiles.filter(F.col("ts") <= F.lit(until).cast("timestamp")), bounds, ["app_id"],
+            spread_by=["profile_type", "unit", "id"],
+        )
         .filter(F.col("ts") >= F.col("start_ts"))
         .drop("start_ts")
     )

@@ -61,7 +61,8 @@ def over_threshold(shares: DataFrame, cpu: float, mem: float) -> DataFrame:
 
 
 def with_impl(findings: DataFrame, resolved: DataFrame) -> DataFrame:
-    return findings.join(resolved.select("app_id", "udf", "impl"), ["app_id", "udf"], "left")
+    functions = w.measure(w.publish(resolved.select("app_id", "udf", "impl"), "functions"))
+    return w.join_lookup(findings, functions, ["app_id", "udf"], spread_by=["task_id"], how="left")
 
 
 def finding_rows(findings: DataFrame) -> DataFrame:

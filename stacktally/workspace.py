@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 # Fixed per-row cost added to the measured text when sizes are checked.
 ROW_OVERHEAD_BYTES = 64
-# Pieces a hot key is split into when a side is too large to broadcast.
-SALT_BUCKETS = 32
+# A key is split if it holds more than one in so many rows, which bounds the number of such keys.
+MOST_SPLIT_KEYS = 4000
+# A key with fewer rows than this is never split.
+LEAST_SPLIT_ROWS = 250
 
 _local_folder: str | None = None
 
@@ -43,10 +45,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def _row_bytes(df: DataFrame) -> Column:
-    """Text bytes of a row plus a fixed cost, as an upper bound for small lookups."""
+    """Bytes of a row's texts plus a fixed cost, as an upper bound for small lookups."""
+    kinds = dict(df.dtypes)
+    if nested := [c for c, kind in kinds.items() if kind.startswith(("array", "map", "struct", "variant"))]:
+        raise ValueError(f"the size of {', '.join(nested)} cannot be measured")
     text = [
-        F.octet_length(F.coalesce(F.col(c), F.lit("")))
-        for c, kind in df.dtypes if kind == "string"
+        F.coalesce(F.octet_length(F.col(c)), F.lit(0))
+        for c, kind in kinds.items() if kind.startswith(("string", "varchar", "char", "binary"))
     ]
     return reduce(Column.__add__, text, F.lit(ROW_OVERHEAD_BYTES))
 
@@ -83,6 +88,47 @@ def measure(df: DataFrame, *measures: Column) -> Table:
     return Table(df, row["n_bytes"], row)
 
 
+def split_keys(counts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Into how many pieces (``_pieces``) to split each key of ``counts`` (``on`` and ``n``).
+
+    Only keys with more than one in ``MOST_SPLIT_KEYS`` of all rows are returned, so there are
+    fewer than that many, and a piece holds no more rows than such a key would.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    most = max(LEAST_SPLIT_ROWS, -(-total // MOST_SPLIT_KEYS))
+    hot = counts.filter(F.col("n") > most)
+    return publish(hot.select(*on, F.ceil(F.col("n") / most).cast("int").alias("_pieces")), "split_keys")
+
+
+def count_keys(facts: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``on`` and ``n``: the rows of each key, merged before the shuffle."""
+    return publish(facts.groupBy(*on).agg(F.count("*").alias("n")), "key_counts")
+
+
+def join_split(
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    spread_by: list[str],
+    how: str = "inner",
+    split: DataFrame | None = None,
+) -> DataFrame:
+    """Inner, left or anti join of two large tables in which a key may hold most of ``facts``.
+
+    The keys that hold a large share of ``facts`` (``split``, else counted here, which reads
+    ``facts`` once more) are cut into pieces by ``spread_by``; ``lookup`` is repeated once per
+    piece for those keys alone.
+    """
+    if split is None:
+        split = split_keys(count_keys(facts, on), on)
+    # Fewer than MOST_SPLIT_KEYS rows.
+    split = F.broadcast(split)
+    pieces = F.coalesce("_pieces", F.lit(1))
+    dealt = facts.join(split, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), pieces).cast("int"))
+    repeated = lookup.join(split, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return dealt.drop("_pieces").join(repeated.drop("_pieces"), [*on, "_salt"], how).drop("_salt")
+
+
 def join_lookup(
     facts: DataFrame,
     lookup: Table,
@@ -94,15 +140,8 @@ def join_lookup(
     """Inner or left join of a large table with a lookup of few rows per key.
 
     A lookup measured to be small is broadcast, so the large side stays where it
-    is. Beyond the limit both sides are shuffled with a salt: the lookup is
-    repeated once per salt and the rows of a hot key spread over all of them.
+    is. Beyond the limit both sides are shuffled, and hot keys are split (``join_split``).
     """
     if lookup.n_bytes <= limit:
         return facts.join(F.broadcast(lookup.rows), on, how)
-    salted = facts.withColumn(
-        "_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALT_BUCKETS)).cast("int")
-    )
-    repeated = lookup.rows.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))
-    )
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return join_split(facts, lookup.rows, on, spread_by, how)

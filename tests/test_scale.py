@@ -1,5 +1,8 @@
 """Results under skew and partitioning, and the shape of the plans."""
 
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
 from stacktally import fixtures as fx
@@ -92,7 +95,7 @@ def test_job_totals_read_job_profiles_only(landing):
 def test_maxima_are_merged_before_the_shuffle(landing):
     usage = hotspots.task_usage(landing.profiles, landing.registry)
     plan = usage._jdf.queryExecution().executedPlan().toString()
-    assert "partial_max(total" in plan
+    assert "partial_max(struct(ts" in plan and plan.count("Exchange hashpartitioning") == 1
     assert "SortMergeJoin" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
@@ -102,11 +105,39 @@ def test_no_nested_loop_in_the_report(landing):
         assert "NestedLoop" not in plan_of(df) and "Cartesian" not in plan_of(df)
 
 
-def test_shared_folder_follows_the_session(spark, monkeypatch):
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = w.shared_folder(spark)
-    if configured:
-        assert folder == configured.rstrip("/")
+def test_shared_folder_follows_the_session():
+    session = lambda master, **conf: SimpleNamespace(
+        conf=conf, sparkContext=SimpleNamespace(master=master)
+    )
+    assert w.shared_folder(session("spark://a:7077", **{"spark.checkpoint.dir": "hdfs:///x/"})) == "hdfs:///x"
+    with pytest.raises(RuntimeError):
+        w.shared_folder(session("spark://a:7077"))
+
+
+def test_hot_keys_are_split_by_their_rows(spark):
+    facts = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k", "id")
+    split = w.split_keys(w.count_keys(facts, ["k"]), ["k"]).collect()
+    assert [(row.k, row["_pieces"]) for row in split] == [(-1, 10_000 // w.LEAST_SPLIT_ROWS)]
+    lookup = spark.createDataFrame([(-1, "hot"), (1, "one"), (7, "seven")], "k LONG, name STRING")
+    for how in ("inner", "left", "left_anti"):
+        got = w.join_split(facts, lookup, ["k"], ["id"], how)
+        plain = facts.join(lookup, "k", how).select(got.columns)
+        assert sorted(got.collect(), key=repr) == sorted(plain.collect(), key=repr)
+    nothing = w.join_split(facts.limit(0), lookup, ["k"], ["id"])
+    assert nothing.count() == 0
+
+
+def test_large_dictionary_meets_one_row_per_name_of_a_profile(landing):
+    classes = w.measure(r.impl_to_udf(r.resolve_registry(landing.registry)), matching.shortest_path())
+    dictionary = w.measure(w.publish(matching.match_frames(p.frame_names(landing.profiles), classes), "test"))
+    plan = plan_of(matching.attribute(p.decode_frames(p.valid_profiles(landing.profiles)), dictionary, limit=0))
+    assert "from_json" not in plan
+
+
+def test_only_measurable_columns_are_measured(spark):
+    assert w.measure(spark.sql("SELECT X'0102' AS a, 1 AS b")).n_bytes == 2 + w.ROW_OVERHEAD_BYTES
+    with pytest.raises(ValueError):
+        w.measure(spark.sql("SELECT array('long') AS a"))
 
 
 def test_measured_size_is_exact(spark):
