@@ -47,7 +47,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of ``edges`` (u, v): one row (node, comp) per node with an edge.
 
     ``comp`` is the smallest node. Alternates large-star and small-star steps: every step is
-    one mergeable minimum and one join per node, so a hub is neither collected nor expanded.
+    one mergeable minimum and one join per node, so a hub is neither collected nor expanded, and
+    the join splits the links of a hub.
     Each round is a written table, compared with the last one by count and hashes.
     """
     current = w.publish(
@@ -57,9 +58,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     seen = _fingerprint(current)
     while seen[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        low = w.publish(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), name)
+        split = w.split_keys(low.select("u", "n"), ["u"])
         low = low.select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = w.join_split(both, low, ["u"], ["v"], split=split).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = w.publish(large.distinct(), name)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

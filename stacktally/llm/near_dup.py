@@ -228,10 +228,12 @@ def _verify(similarity: float):
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose texts align; a hub's rows may be split over tasks."""
+    """The pairs (u, v) whose texts align; a hub's rows are split over tasks by their number."""
     a = texts.select(F.col("key").alias("u"), F.col("text").alias("text_u"))
     b = texts.select(F.col("key").alias("v"), F.col("text").alias("text_v"))
-    return pairs.join(b, "v").join(a, "u").select("u", "v", "text_u", "text_v").mapInPandas(
+    hubs = w.split_keys(w.count_keys(pairs, ["u"]), ["u"])
+    met = w.join_split(w.join_split(pairs, b, ["v"], ["u"]), a, ["u"], ["v"], split=hubs)
+    return met.select("u", "v", "text_u", "text_v").mapInPandas(
         _verify(similarity), "u binary, v binary"
     )
 
@@ -255,11 +257,15 @@ def _near_sizes(similarity: float) -> str:
 
 def _hub_pairs(met: DataFrame, similarity: float) -> DataFrame:
     """Every text under a sketch with the first text of that sketch."""
-    hubs = met.groupBy("bucket").agg(
-        F.min(F.struct("key", "n_words")).alias("hub"), F.count("*").alias("n")
-    ).filter("n > 1").select("bucket", F.col("hub.key").alias("u"), F.col("hub.n_words").alias("n_u"))
+    hubs = w.publish(
+        met.groupBy("bucket").agg(F.min(F.struct("key", "n_words")).alias("hub"), F.count("*").alias("n"))
+        .filter("n > 1")
+        .select("bucket", F.col("hub.key").alias("u"), F.col("hub.n_words").alias("n_u"), "n"), "near_hubs",
+    )
     pairs = met.select("bucket", F.col("key").alias("v"), F.col("n_words").alias("n_v"))
-    return pairs.join(hubs, "bucket").filter("u <> v").filter(_near_sizes(similarity)).select("u", "v").distinct()
+    split = w.split_keys(hubs.select("bucket", "n"), ["bucket"])
+    pairs = w.join_split(pairs, hubs.drop("n"), ["bucket"], ["v"], split=split)
+    return pairs.filter("u <> v").filter(_near_sizes(similarity)).select("u", "v").distinct()
 
 
 def _other_pairs(met: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
@@ -335,14 +341,14 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     row. Other columns are ignored. Null texts count as empty.
     """
     named = w.publish(classes(docs, **options), "near_named")
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"))
+    rows = w.publish(docs.select("doc_id", text_key(F.col("text")).alias("key")), "near_rows")
     firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"))
     found = w.publish(named.join(firsts, "key"), "near_firsts")
     ids = found.groupBy("comp").agg(
         F.min("first_id").alias("class_id"), F.sum("n_copies").alias("class_size")
     )
-    lookup = found.select("key", "comp").join(ids, "comp").select("key", "class_id", "class_size")
-    return rows.join(lookup, "key").select(
+    lookup = w.join_split(found.select("key", "comp"), ids, ["comp"], ["key"]).drop("comp")
+    return w.join_split(rows, lookup, ["key"], ["doc_id"]).select(
         "doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept")
     )
 
