@@ -26,21 +26,22 @@ from xxhash import xxh3_64_intdigest
 from stacktally import workspace as w
 from stacktally.llm.common import components, free_name, text_key, whole
 
-SHINGLE_WORDS = 5
-KEPT_IN_ORDER = 4
-SKETCHES = 24
+# Chosen for what scattered edits leave of the k-mers at SIMILARITY, see ``classes``.
+SHINGLE_WORDS = 3
+KEPT_IN_ORDER = 3
+SKETCHES = 64
 SIMILARITY = 0.8
-# Later occurrences of a k-mer are not sampled: filler that repeats one phrase would otherwise
-# fill the sketches of texts that have nothing else in common.
-MOST_OCCURRENCES = 4
+# Numbers of 64 bits that hold the parities of a text's words.
+PARITIES = 16
 # k-mers hashed at once, times sketches.
-_CELLS = 500_000
+_CELLS = 100_000
 # Cells of one alignment matrix row: pairs times band width.
 _BAND_CELLS = 60_000
 
 _SIGNATURE = T.StructType([
     T.StructField("n_words", T.IntegerType()),
     T.StructField("sketches", T.ArrayType(T.LongType())),
+    T.StructField("parities", T.ArrayType(T.LongType())),
 ])
 
 
@@ -55,9 +56,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def labelled_kmers(words: np.ndarray, k: int, most: int = MOST_OCCURRENCES) -> np.ndarray:
-    """A hash per k-mer and occurrence of it up to the ``most``-th, in text order; one for a
-    text below k words."""
+def labelled_kmers(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash per k-mer and occurrence of it, in text order; one for a text below k words."""
     k = min(k, len(words))
     n = len(words) - k + 1
     h = np.zeros(n, dtype=np.uint64)
@@ -70,7 +70,7 @@ def labelled_kmers(words: np.ndarray, k: int, most: int = MOST_OCCURRENCES) -> n
         at = np.arange(n)
         occurrence = np.empty(n, dtype=np.uint64)
         occurrence[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-        h = (h + occurrence * np.uint64(0xA24BAED4963EE407))[occurrence < most]
+        h = h + occurrence * np.uint64(0xA24BAED4963EE407)
     return _mix(h)
 
 
@@ -87,7 +87,12 @@ def sketch(words: np.ndarray, k: int, kept: int, sketches: int) -> np.ndarray:
         seed = seeds[start : start + at_once, None]
         values = (kmers[None, :] ^ seed) * (seed | np.uint64(1))
         values ^= values >> np.uint64(29)
-        smallest = np.sort(np.argpartition(values, kept - 1, axis=1)[:, :kept], axis=1)
+        rows = np.arange(len(values))
+        smallest = np.empty((len(values), kept), dtype=np.int64)
+        for i in range(kept):
+            smallest[:, i] = values.argmin(axis=1)
+            values[rows, smallest[:, i]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        smallest.sort(axis=1)
         h = seed[:, 0].copy()
         for i in range(kept):
             h = _mix(h) + kmers[smallest[:, i]]
@@ -95,11 +100,24 @@ def sketch(words: np.ndarray, k: int, kept: int, sketches: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def parities(words: np.ndarray) -> np.ndarray:
+    """For each of 64 x PARITIES cells, whether an odd number of words falls into it.
+
+    A word's later occurrences fall into other cells. Cells that differ between two texts are
+    at most as many as the words that only one of them has, so they bound the edits from below.
+    """
+    bits = np.zeros(64 * PARITIES, dtype=np.uint8)
+    if len(words):
+        cells = labelled_kmers(words, 1) % np.uint64(len(bits))
+        bits = (np.bincount(cells.astype(np.int64), minlength=len(bits)) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.int64)
+
+
 def _signature(k: int, kept: int, sketches: int):
     @F.pandas_udf(_SIGNATURE)
     def signature(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            sizes, found = [], []
+            sizes, found, odd = [], [], []
             for text in batch:
                 words = words_of(text)
                 hashes = np.fromiter(
@@ -107,7 +125,8 @@ def _signature(k: int, kept: int, sketches: int):
                 )
                 sizes.append(len(words))
                 found.append(sketch(hashes, k, kept, sketches))
-            yield pd.DataFrame({"n_words": sizes, "sketches": found})
+                odd.append(parities(hashes))
+            yield pd.DataFrame({"n_words": sizes, "sketches": found, "parities": odd})
 
     return signature
 
@@ -255,6 +274,12 @@ def _near_sizes(similarity: float) -> str:
     return f"least(n_u, n_v) >= {similarity} * greatest(n_u, n_v) - 1e-9"
 
 
+def _near_words(similarity: float) -> str:
+    """False only for pairs whose different words alone are too many edits."""
+    differ = " + ".join(f"bit_count(odd_u[{i}] ^ odd_v[{i}])" for i in range(PARITIES))
+    return f"{differ} + abs(n_u - n_v) <= 2 * (1 - {similarity}) * greatest(n_u, n_v) + 1e-6"
+
+
 def _hub_pairs(met: DataFrame, similarity: float) -> DataFrame:
     """Every text under a sketch with the first text of that sketch."""
     hubs = w.publish(
@@ -268,8 +293,11 @@ def _hub_pairs(met: DataFrame, similarity: float) -> DataFrame:
     return pairs.filter("u <> v").filter(_near_sizes(similarity)).select("u", "v").distinct()
 
 
-def _other_pairs(met: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different classes under a sketch, but for those within its largest class."""
+def _other_pairs(met: DataFrame, nodes: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different classes under a sketch, but for those within its largest class.
+
+    Pairs are dropped inside the join where their sizes or words differ too much.
+    """
     placed = met.join(comps.select(F.col("node").alias("key"), "comp"), "key", "left").select(
         "bucket", "key", "n_words", F.coalesce("comp", "key").alias("comp")
     )
@@ -279,15 +307,18 @@ def _other_pairs(met: DataFrame, comps: DataFrame, similarity: float) -> DataFra
     sizes = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"))
     main = main.select("bucket", F.col("m.comp").alias("main"))
-    open_ = w.publish(open_.join(main, "bucket"), "near_open")
+    open_ = open_.join(main, "bucket").join(nodes.select("key", "parities"), "key")
+    open_ = w.publish(open_, "near_open")
     u = open_.filter("comp <> main").select(
-        "bucket", F.col("key").alias("u"), F.col("n_words").alias("n_u"), F.col("comp").alias("comp_u")
+        "bucket", F.col("key").alias("u"), F.col("n_words").alias("n_u"), F.col("comp").alias("comp_u"),
+        F.col("parities").alias("odd_u"),
     )
     v = open_.select(
-        "bucket", F.col("key").alias("v"), F.col("n_words").alias("n_v"), F.col("comp").alias("comp_v"), "main"
+        "bucket", F.col("key").alias("v"), F.col("n_words").alias("n_v"), F.col("comp").alias("comp_v"), "main",
+        F.col("parities").alias("odd_v"),
     )
     pairs = u.join(v, "bucket").filter("comp_u <> comp_v AND (comp_v = main OR u < v)")
-    return pairs.filter(_near_sizes(similarity)).select(
+    return pairs.filter(_near_sizes(similarity)).filter(_near_words(similarity)).select(
         F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     ).distinct()
 
@@ -303,28 +334,33 @@ def classes(
 
     Texts of one ``comp`` are linked by pairs whose word edit similarity, 1 - edits / words of
     the longer text, is at least ``similarity``. Words are lower case between white space.
-    Two texts are compared if any of ``sketches`` order min-hashes of ``kept`` k-mers is equal:
-    at a share of 0.8 equal shingles a pair is missed with probability below 1e-5, at 0.6 below
-    0.05. Null and
-    empty texts, and texts of white space only, are one class. An empty table gives no rows.
+    Two texts are compared if any of ``sketches`` order min-hashes of ``kept`` k-mers is equal.
+    Where every edit changes another word, far from the next, a share of s ** 3 / (2 - s ** 3)
+    of the k-mers is left at similarity s: a pair is missed with probability below 1e-5 at 0.9,
+    0.003 at 0.85 and 0.07 at 0.8 (independent draws); less often if edits stand together. Every
+    occurrence of a repeated phrase counts. Null and empty texts, and texts of white space only, are one class. An empty table gives no rows.
     """
     signature = _signature(shingle_words, kept, sketches)
     signed = docs.select(
         text_key(F.col("text")).alias("key"), signature(whole(F.col("text"))).alias("s")
-    ).select("key", "s.n_words", "s.sketches")
+    ).select("key", "s.n_words", "s.sketches", "s.parities")
     nodes = w.publish(
-        w.publish(signed, "near_signed").groupBy("key").agg(
+        signed.groupBy("key").agg(
             F.count("*").alias("n_copies"), F.first("n_words").alias("n_words"),
-            F.first("sketches").alias("sketches"),
+            F.first("sketches").alias("sketches"), F.first("parities").alias("parities"),
         ), "near_nodes",
     )
-    met = w.publish(nodes.select("key", "n_words", F.explode("sketches").alias("bucket")), "near_met")
+    # Most sketches stand under one text only: they are dropped before anything is joined.
+    met = nodes.select("key", "n_words", F.explode("sketches").alias("bucket"))
+    shared = w.publish(met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "near_shared")
+    met = w.join_split(met, shared.select("bucket"), ["bucket"], ["key"], split=w.split_keys(shared, ["bucket"]))
+    met = w.publish(met, "near_met")
 
     pairs = w.publish(_hub_pairs(met, similarity), "near_pairs")
     links = w.publish(_similar(pairs, _texts_of(docs, _keys(pairs)), similarity), "near_links")
     comps = components(links, "near_classes")
 
-    others = w.publish(_other_pairs(met, comps, similarity), "near_pairs")
+    others = w.publish(_other_pairs(met, nodes, comps, similarity), "near_pairs")
     more = w.publish(_similar(others, _texts_of(docs, _keys(others)), similarity), "near_links")
     if not more.isEmpty():
         comps = components(links.unionByName(more), "near_classes")

@@ -119,6 +119,38 @@ def test_a_hot_group_of_near_copies_is_one_class(spark):
     assert sizes == [1] * 100 + [300]
 
 
+def test_scattered_edits_are_found_by_edit_similarity(spark, sf_dir):
+    """One row per pair; pairs at similarity 0.9, 0.85 and 0.82 by edits drawn over the whole text."""
+    rng = np.random.default_rng(11)
+    table = sf_dir.replace(sf_dir.rsplit("/", 1)[1], "sf0.01")
+    texts = [r["text"] for r in spark.read.parquet(f"{table}/documents.parquet").limit(400).collect()]
+    words = [x for x in map(near_dup.words_of, texts) if 100 <= len(x) <= 400][:120]
+    rows, pairs = [], []
+    for i, x in enumerate(words):
+        for j, share in enumerate((0.1, 0.15, 0.18)):
+            own = [f"{y}z{i}z{j}" for y in x]  # pairs have nothing in common with other pairs
+            copy = list(own)
+            for at in rng.choice(len(own), int(share * len(own)), replace=False):
+                copy[at] = f"new{at}"
+            pairs.append((own, copy, j))
+            rows += [(2 * len(pairs), " ".join(own)), (2 * len(pairs) + 1, " ".join(copy))]
+    assert all(d >= 0 for d in near_dup.edit_distances([(a, b) for a, b, _ in pairs]))
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    size = {r["doc_id"]: r["class_size"] for r in found.collect()}
+    recall = [np.mean([size[2 * n] == 2 for n, p in enumerate(pairs, 1) if p[2] == j]) for j in range(3)]
+    assert recall[0] == 1 and recall[1] > 0.97 and recall[2] > 0.9, recall
+
+
+def test_texts_that_repeat_one_phrase_meet(spark):
+    rows = []
+    for i in range(20):
+        for side in "ab":
+            own = [f"{side}{i}_{j}" for j in range(30)]
+            rows.append((len(rows), " ".join(own + [f"one{i} two{i} three{i}"] * 100)))
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["count"] for r in found.groupBy("class_id").count().collect()) == [2] * 20
+
+
 def test_decontamination(docs, nothing, benchmark):
     found = decontam.contaminated(docs, benchmark)
     assert sorted((r["doc_id"], r["item_id"], r["n_tiles"]) for r in found.collect()) == [(9, 1, 1), (11, 1, 2)]
