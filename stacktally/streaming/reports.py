@@ -35,10 +35,10 @@ MISSING = (
     "message STRING, step BIGINT"
 )
 # What a job's report was made of; if this changes, the job is reported again.
-BASIS = ["expected", "received", "totals", "usage_ts"]
+BASIS = ["expected", "received", "totals", "digest"]
 JOBS = (
     "app_id STRING, job_id BIGINT, expected BIGINT, received BIGINT, totals BIGINT, "
-    "usage_ts TIMESTAMP, complete BOOLEAN, step BIGINT"
+    "digest BIGINT, complete BOOLEAN, step BIGINT"
 )
 _TABLES = {"events": EVENTS, "usage": m.USAGE, "findings": FINDINGS, "missing": MISSING, "jobs": JOBS}
 
@@ -90,23 +90,29 @@ def last_delivery(usage: DataFrame) -> DataFrame:
 
 
 def _progress(ended: DataFrame, expected: DataFrame, usage: DataFrame) -> DataFrame:
-    """What each ended job waits for, and what of it is there: ``JOBS`` without ``step``."""
+    """What each ended job waits for, and what of it is there: ``JOBS`` without ``step``.
+
+    ``digest`` covers every covered task and every row of usage that holds for it or the job, so
+    it changes with any of them, whatever their times. The rows are distinct: xor loses none.
+    """
     job = ["app_id", "job_id"]
+    row = F.bit_xor(F.xxhash64("metric", "is_total", "udf", "value", "ts"))
     seen = usage.filter(F.col("unit") == m.TASK).groupBy(
         "app_id", F.col("id").alias("task_id"), "metric"
-    ).agg(F.max("ts").alias("seen_ts"))
-    tasks = expected.filter("ended").join(seen, ["app_id", "task_id", "metric"], "left")
+    ).agg(F.count("*").alias("seen"), row.alias("seen_digest"))
+    tasks = expected.join(seen, ["app_id", "task_id", "metric"], "left")
     tasks = tasks.groupBy(job).agg(
-        F.count("*").alias("expected"), F.count("seen_ts").alias("received"),
-        F.max("seen_ts").alias("seen_ts"),
+        F.count_if("ended").alias("expected"),
+        F.count_if(F.col("ended") & F.col("seen").isNotNull()).alias("received"),
+        F.bit_xor(F.xxhash64("stage_id", "task_id", "metric", "ended", "seen", "seen_digest")).alias("task_digest"),
     )
     totals = usage.filter((F.col("unit") == m.JOB) & F.col("is_total")).groupBy(
         "app_id", F.col("id").alias("job_id")
-    ).agg(F.count("*").alias("totals"), F.max("ts").alias("total_ts"))
+    ).agg(F.count("*").alias("totals"), row.alias("total_digest"))
     none = lambda name: F.coalesce(name, F.lit(0)).alias(name)
     counted = ended.join(tasks, job, "left").join(totals, job, "left").select(
         *job, "arrived", none("expected"), none("received"), none("totals"),
-        F.greatest("seen_ts", "total_ts").alias("usage_ts"),
+        F.xxhash64("task_digest", "total_digest").alias("digest"),
     )
     complete = (F.col("expected") == F.col("received")) & (F.col("totals") == 2)
     return counted.withColumn("complete", complete)

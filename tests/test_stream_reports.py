@@ -88,6 +88,18 @@ def test_reports_follow_arrival_not_event_time(spark, tmp_path):
     assert run.step(6, usage=smaller)[0] == {("a", 1): 5.0, ("b", 1): 9.0}
 
 
+def test_late_usage_older_than_the_job_total_makes_a_new_report(spark, tmp_path):
+    run = Run(spark, tmp_path / "store")
+    usage = cost("a", m.JOB, 1, 60, 10.0) + cost("a", m.TASK, 1, 1, 8.0) + cost("a", m.TASK, 1, 1, 8.0, "f")
+    assert run.step(1, log_of("a", 0, [1]), usage)[0] == {("a", 1): 8.0}
+    newer = cost("a", m.TASK, 1, 30, 6.0) + cost("a", m.TASK, 1, 30, 6.0, "f")
+    assert run.step(2, usage=newer)[0] == {("a", 1): 6.0}
+    # A further function of the same task and time, from a profile landed later.
+    run.step(3, usage=cost("a", m.TASK, 1, 30, 5.0, "g"))
+    found = reports.newest(run.store, "findings").filter("metric = 'CPU'").collect()
+    assert {(r.udf, r.value) for r in found} == {("f", 6.0), ("g", 5.0)}
+
+
 def test_repeated_deliveries_count_once(spark):
     rows = cost("a", m.TASK, 1, 1, 3.0) + cost("a", m.TASK, 1, 1, 3.0) + cost("a", m.TASK, 1, 0, 9.0)
     got = reports.last_delivery(spark.createDataFrame(rows, m.USAGE)).collect()
