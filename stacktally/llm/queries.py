@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stacktally import workspace as w
 from stacktally.llm import (
-    chat, decontam, html, licenses, near_dup, packing, pii, quality, sharding, toxicity,
+    chat, decontam, filter_audit, html, licenses, near_dup, packing, pii, prefix_trie, quality,
+    sharding, toxicity, warc,
 )
 from stacktally.llm.common import read, small_batches
 
@@ -87,11 +89,30 @@ def op10_chat(spark, sf_dir: str) -> DataFrame:
     return pairs.withColumns({c: chat.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
 
 
+def op11_filter_audit(spark, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_warc(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    path = w.new_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
+    )
+
+
+def op13_prefix_trie(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return prefix_trie.trie(read(spark, sf_dir, "conversations")).drop("at_conv", "at_pos")
+
+
 def queries() -> dict:
     return {
         f.__name__: f for f in (
             op1_pii, op2_licenses, op3_decontaminate, op4_near_duplicates, op5_pack, op6_toxicity,
-            op7_shard, op8_quality, op9_html, op10_chat,
+            op7_shard, op8_quality, op9_html, op10_chat, op11_filter_audit, op12_warc,
+            op13_prefix_trie,
         )
     }
 
@@ -198,5 +219,119 @@ FROM prefix LEFT JOIN rest USING (pair_id) GROUP BY prefix.pair_id, prefix.n_pre
 """
 
 
+_AUDIT_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents),
+label AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+         list_filter([
+           CASE WHEN len(ws) < 200 THEN 'A' END,
+           CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' END,
+           CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' END,
+           CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+           CASE WHEN first_id < doc_id THEN 'E' END], lambda f: f IS NOT NULL) AS fails
+  FROM doc LEFT JOIN label USING (doc_id)),
+kind AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failing GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letter a JOIN letter b ON b.l <> a.l JOIN letter c ON c.l NOT IN (a.l, b.l)
+  JOIN letter d ON d.l NOT IN (a.l, b.l, c.l) JOIN letter e ON e.l NOT IN (a.l, b.l, c.l, d.l)),
+steps AS (
+  SELECT filter_order, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders),
+acting AS (
+  SELECT *, substr(filter_order, step, 1) AS own,
+         string_split(substr(filter_order, 1, step - 1), '') AS earlier FROM steps),
+counted AS (
+  SELECT part, filter_order, step, own,
+         sum(n) FILTER (NOT list_has_any(fails, earlier) AND NOT list_contains(fails, own)) AS kept,
+         sum(n) FILTER (NOT list_has_any(fails, earlier) AND list_contains(fails, own)) AS removed,
+         sum(n) FILTER (list_has_any(fails, earlier) AND list_contains(fails, own)) AS redundant,
+         sum(n) FILTER (fails = [own]) AS unique_fails,
+         sum(good) FILTER (NOT list_has_any(fails, earlier) AND list_contains(fails, own)) AS good_lost,
+         sum(toxic) FILTER (NOT list_has_any(fails, earlier) AND list_contains(fails, own)) AS toxic_lost
+  FROM kind, acting GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step,
+       CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM counted
+"""
+
+_WARC_SQL = """
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n
+  FROM pages),
+grouped AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last_id FROM page),
+typed AS (SELECT *, n >= 1000 AND (page_id < last_id OR (page_id IS NULL AND last_id IS NOT NULL)) AS again FROM grouped)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN last_id END AS refers_to, TRUE AS intact
+FROM typed
+"""
+
+_TRIE_SQL = """
+WITH stored AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+             string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda acc, b: list_reduce(
+             [xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, zero: xor(x >> 1, CAST(3988292384 AS BIGINT) * (x & 1)))),
+           CAST(4294967295 AS BIGINT)) % 9 AS head
+  FROM stored GROUP BY conv_id),
+turns AS (
+  SELECT c.conv_id, 0 AS part, s.pos, s.role, s.text FROM conv c JOIN stored s ON s.conv_id = c.base AND s.pos <= c.head
+  UNION ALL
+  SELECT c.conv_id, 1, s.pos, s.role, s.text FROM conv c JOIN stored s ON s.conv_id = c.conv_id AND s.pos > c.head),
+rebuilt AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text,
+         strlen(text) AS n_bytes FROM turns),
+path AS (
+  SELECT conv_id, depth, n_bytes,
+         list(to_json([role, text])) OVER (PARTITION BY conv_id ORDER BY depth) AS beginning FROM rebuilt
+  UNION ALL SELECT conv_id, 0, 0, [] FROM conv),
+lengths AS (SELECT conv_id, max(depth) AS depth FROM path GROUP BY conv_id),
+node AS (
+  SELECT beginning, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(n_bytes) AS n_bytes
+  FROM path GROUP BY beginning, depth),
+ended AS (
+  SELECT p.beginning, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids
+  FROM path p JOIN lengths USING (conv_id, depth) GROUP BY p.beginning),
+child AS (SELECT beginning[1:depth - 1] AS beginning, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM node n LEFT JOIN child c USING (beginning)),
+subtree AS (
+  SELECT top.beginning, count(*) FILTER (below.n_children = 0) AS n_leaves,
+         sum((below.n_convs - 1) * below.n_bytes) AS saved_tokens
+  FROM full_node below JOIN path p ON p.conv_id = below.conv_id AND p.depth <= below.depth
+  JOIN full_node top ON top.beginning = p.beginning
+  GROUP BY top.beginning)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, above.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+       s.n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM full_node n JOIN subtree s USING (beginning) LEFT JOIN ended e USING (beginning)
+LEFT JOIN node above ON n.depth > 0 AND above.beginning = n.beginning[1:n.depth - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": _license_sql(), "op8_quality": _QUALITY_SQL, "op10_chat": _CHAT_SQL}
+    return {
+        "op2_licenses": _license_sql(), "op8_quality": _QUALITY_SQL, "op10_chat": _CHAT_SQL,
+        "op11_filter_audit": _AUDIT_SQL, "op12_warc": _WARC_SQL, "op13_prefix_trie": _TRIE_SQL,
+    }
