@@ -117,12 +117,14 @@ task_span AS (
          min(slot) < 3 AND max(slot) >= 3 AS has_early
   FROM base WHERE task_id % 17 <> 0 GROUP BY app_id, job_id, task_id),
 snapshot AS (
-  SELECT app_id, 'task' AS unit, task_id AS id, job_id, 9 AS last_slot,
-         least(last_ts + INTERVAL 1 SECOND, h + INTERVAL 1 HOUR - INTERVAL 1 MILLISECOND) AS ts
+  SELECT app_id, 'task' AS unit, task_id AS id, job_id, 9 AS last_slot, last_ts + INTERVAL 1 SECOND AS ts
   FROM task_span
   UNION ALL
   SELECT app_id, 'task', task_id, job_id, 2, h + INTERVAL 30 MINUTE FROM task_span WHERE has_early
   UNION ALL
+  SELECT app_id, 'task', id, job_id, 2, last_ts + INTERVAL 1 SECOND + INTERVAL 70 MINUTE
+  FROM (SELECT *, task_id AS id FROM task_span) WHERE has_early AND {fx.SMALLER_LATER}
+  UNION ALL
   SELECT app_id, 'job', job_id, job_id, 9, max(ts) + INTERVAL 2 SECOND
   FROM base GROUP BY app_id, job_id),
 profile AS (
@@ -604,48 +606,51 @@ def selector_text(spark, sf_dir):
 # --- streams ----------------------------------------------------------------------
 
 class _Feed:
-    """Folders that the steps of a stream are landed in, one after the other."""
+    """Folders that the steps of a stream are landed in, and the streams that every step drains."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.root = spark, w.new_path(spark, "stream")
         self.landing = fx.land(spark, sf_dir)
-        self.owners = w.publish(_owners(self.landing.log), "owners")
         self.profiles, self.lines = f"{self.root}/profiles", f"{self.root}/lines"
-        self.usage = f"{self.root}/usage"
+        self.usage, self.tracked_path = f"{self.root}/usage", f"{self.root}/tracked"
 
-    def steps(self, with_lines: bool = True):
-        for profiles, lines in fx.stream_steps(self.spark, self.landing):
+    def steps(self):
+        for profiles, lines, arrived in fx.stream_steps(self.spark, self.landing):
             tables.write_profiles(profiles, self.profiles, mode="append")
-            if with_lines:
-                lines.write.mode("append").parquet(self.lines)
+            lines.withColumn("arrived", arrived).write.mode("append").parquet(self.lines)
             stream = tables.stream_profiles(self.spark, self.profiles)
-            self.drain(su.usage_writer(stream, self.landing.registry, self.usage), "land")
+            self.drain(su.usage_writer(stream, self.landing.registry, self.usage, arrived=arrived), "land")
+            owned = self.drain_to_files(sj.owned_ends(self.log()), "owned")
+            self.drain_to_files(
+                sj.track_tasks(
+                    self.spark.readStream.schema(sj.OWNED).parquet(owned), su.stream_usage(self.spark, self.usage)
+                ),
+                "tracked", keyed=True,
+            )
             yield
 
-    def drain(self, writer, name: str) -> None:
-        run.drain(writer, f"{self.root}/checkpoint/{name}")
+    def drain(self, writer, name: str, keyed: bool = False) -> None:
+        run.drain(writer, f"{self.root}/checkpoint/{name}", keyed)
 
-    def drain_to_files(self, rows: DataFrame, name: str) -> str:
+    def drain_to_files(self, rows: DataFrame, name: str, keyed: bool = False) -> str:
         path = f"{self.root}/{name}"
-        self.drain(run.to_files(rows, path), name)
+        self.drain(run.to_files(rows, path), name, keyed)
         return path
 
     def log(self) -> DataFrame:
-        return self.spark.readStream.schema(m.LOG_LINE).parquet(self.lines)
+        return self.spark.readStream.schema(m.LOG_LINE + ", arrived TIMESTAMP").parquet(self.lines)
 
-    def outcomes(self) -> DataFrame:
-        usage = su.stream_usage(self.spark, self.usage)
-        return sj.task_outcomes(e.task_ends(self.log()), usage, self.owners)
+    def tracked(self) -> DataFrame:
+        rows = self.spark.read.schema(sj.TRACKED).parquet(self.tracked_path)
+        return rows.filter(F.col("app_id") != fx.END_APP)
 
 
 @query("SELECT app_id, task_id, metric, udf, is_total, value FROM task_usage")
 def stream_task_usage(spark, sf_dir):
     feed = _Feed(spark, sf_dir)
-    for _ in feed.steps(with_lines=False):
-        path = feed.drain_to_files(
-            su.windowed_usage(su.stream_usage(spark, feed.usage)), "windowed"
-        )
-    return spark.read.parquet(path).filter(F.col("app_id") != fx.SENTINEL_APP).drop("landed")
+    for _ in feed.steps():
+        pass
+    return sj.newest_usage(feed.tracked()).drop("ts")
 
 
 @query("""
@@ -659,8 +664,8 @@ WHERE t.ended AND NOT EXISTS (
 def stream_missing(spark, sf_dir):
     feed = _Feed(spark, sf_dir)
     for _ in feed.steps():
-        path = feed.drain_to_files(sj.missing_tasks(feed.outcomes()), "missing")
-    return spark.read.parquet(path).drop("end_ts")
+        pass
+    return sj.missing_tasks(feed.tracked())
 
 
 @query("""
@@ -676,16 +681,10 @@ WHERE job.finished GROUP BY job.app_id, job.job_id
 def stream_job_report(spark, sf_dir):
     feed = _Feed(spark, sf_dir)
     for _ in feed.steps():
-        log = feed.log()
-        ended = feed.drain_to_files(
-            sj.end_counts(e.task_ends(log), e.job_ends(log), feed.owners), "ended"
-        )
-        seen = feed.drain_to_files(sj.outcome_counts(feed.outcomes()), "seen")
-    counts = sj.stream_counts(spark, ended, "1 minute").unionByName(
-        sj.stream_counts(spark, seen, "1 minute")
-    )
-    path = feed.drain_to_files(sj.job_reports(counts), "reports")
-    return spark.read.parquet(path).filter(F.col("app_id") != fx.SENTINEL_APP)
+        tracked = sj.stream_tracked(spark, feed.tracked_path)
+        path = feed.drain_to_files(sj.track_jobs(feed.log(), tracked), "reports", keyed=True)
+    reported = spark.read.schema(sj.JOB_REPORT).parquet(path).filter(F.col("app_id") != fx.END_APP)
+    return sj.newest_reports(reported)
 
 
 def _streamed_reports(spark: SparkSession, sf_dir: str) -> reports.Store:

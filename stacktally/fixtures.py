@@ -39,6 +39,7 @@ SUBMITTED = "stage_id % 13 <> 0"
 ATTEMPT = "CASE WHEN stage_id % 11 = 0 AND hour_of_day >= 12 THEN 1 ELSE 0 END"
 RUNNING_TASK = "task_id % 23 = 0"
 NO_TASK_PROFILE = "id % 17 = 0"
+SMALLER_LATER = "id % 29 = 0"  # tasks with an early snapshot that is delivered again later
 # How task profiles are spoilt, by task_id % 19.
 BAD_JSON, EMPTY, RAGGED, WRONG_TYPE = 3, 5, 7, 9
 ZERO_TOTAL_CPU = "job_id % 10 = 3"
@@ -96,7 +97,7 @@ def _body(frames: Column, spoilt: Column, total_name: Column) -> Column:
 
 
 def profiles(rows: DataFrame) -> DataFrame:
-    """Task and job profiles of both types; tasks may have an early snapshot as well."""
+    """Task and job profiles of both types; tasks may have an early or a later, smaller snapshot too."""
     name = F.concat(
         F.replace("impl", F.lit("."), F.lit("/")), F.lit("$"), F.col("slot").cast("string"),
         F.lit(".call"),
@@ -124,18 +125,18 @@ def profiles(rows: DataFrame) -> DataFrame:
     minutes = lambda n: F.make_dt_interval(mins=F.lit(n))
     second = F.make_dt_interval(secs=F.lit(1))
     early = F.filter("frames", lambda f: f["slot"] < 3)
-    landed = F.when(
-        is_task, F.least(F.col("last_ts") + second, hour + minutes(60) - F.make_dt_interval(secs=F.lit(0.001)))
-    ).otherwise(F.col("last_ts") + second + second)
+    has_early = is_task & (F.size(early) > 0) & (F.size(early) < F.size("frames"))
+    landed = F.col("last_ts") + F.when(is_task, second).otherwise(second + second)
     snapshots = grouped.select(
         "app_id", "unit", "id", "job_id",
         F.inline(
             F.array_compact(
                 F.array(
                     F.struct(landed.alias("ts"), F.col("frames").alias("frames")),
+                    F.when(has_early, F.struct((hour + minutes(30)).alias("ts"), early.alias("frames"))),
                     F.when(
-                        is_task & (F.size(early) > 0) & (F.size(early) < F.size("frames")),
-                        F.struct((hour + minutes(30)).alias("ts"), early.alias("frames")),
+                        has_early & F.expr(SMALLER_LATER),
+                        F.struct((landed + minutes(70)).alias("ts"), early.alias("frames")),
                     ),
                 )
             )
@@ -298,61 +299,49 @@ def read_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-# Streams get the data in two steps. A row far in the future comes with the second
-# one and another alone, to move the watermarks past everything that was waiting.
+# Streams get the data against the order of time, the later half first. A step that arrives far in
+# the future ends all waiting.
 STREAM_SPLIT = "2024-01-16 00:00:00"
-SENTINELS = ("2098-01-01 00:00:00", "2099-01-01 00:00:00")
-SENTINEL_APP = "~end"
+ARRIVALS = ("2030-01-01 00:00:00", "2030-01-01 01:00:00", "2099-01-01 00:00:00")
+END_APP = "~end"
 
 
-def stream_steps(spark: SparkSession, landing: Landing) -> list[tuple[DataFrame, DataFrame]]:
-    """``(profiles, log lines)`` of each step, in the order of time.
-
-    The lines are those of ended tasks and jobs.
-    """
-    ms = F.coalesce(
-        F.get_json_object("value", "$['Task Info']['Finish Time']"),
-        F.get_json_object("value", "$['Completion Time']"),
-    ).cast("bigint")
-    ends = landing.log.filter(
-        F.contains("value", F.lit("SparkListenerTaskEnd"))
-        | F.contains("value", F.lit("SparkListenerJobEnd"))
-    ).withColumn("ts", F.timestamp_millis(ms))
-    split = F.lit(STREAM_SPLIT).cast("timestamp")
-    steps = [
-        (landing.profiles.filter(test), ends.filter(test).drop("ts"))
-        for test in (F.col("ts") < split, F.col("ts") >= split)
+def _end_step(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """A profile, and a job with an ended task, of an application of their own."""
+    one = spark.range(1).select(
+        F.lit(END_APP).alias("app_id"), F.lit(0).cast("bigint").alias("id"),
+        F.lit(ARRIVALS[-1]).cast("timestamp").alias("ts"),
+    )
+    profile = one.select(
+        "app_id", F.lit("spark-app").alias("service_name"), "id", F.col("id").alias("job_id"), "ts",
+        F.lit('{"flamebearer":{"names":["total"],"levels":[[0,1,0,0]]}}').alias("body"),
+        F.lit(m.CPU_PROFILE).alias("profile_type"), F.lit(m.TASK).alias("unit"),
+    )
+    number, time = F.col("id"), _ms("ts")
+    job = number.alias("Job ID")
+    lines = [
+        _line(one, "SparkListenerJobStart", job, time.alias("Submission Time"), F.array(number).alias("Stage IDs")),
+        _line(
+            one, "SparkListenerTaskEnd", number.alias("Stage ID"), number.alias("Stage Attempt ID"),
+            F.struct(number.alias("Task ID"), time.alias("Launch Time"), time.alias("Finish Time")).alias("Task Info"),
+        ),
+        _line(one, "SparkListenerJobEnd", job, time.alias("Completion Time")),
     ]
-    for moment in SENTINELS:
-        ts = F.lit(moment).cast("timestamp")
-        one = spark.range(1).select(
-            F.lit(SENTINEL_APP).alias("app_id"), F.lit(0).cast("bigint").alias("id"), ts.alias("ts")
-        )
-        profile = one.select(
-            "app_id", F.lit("spark-app").alias("service_name"), "id",
-            F.col("id").alias("job_id"), "ts",
-            F.lit('{"flamebearer":{"names":["total"],"levels":[[0,1,0,0]]}}').alias("body"),
-            F.lit(m.CPU_PROFILE).alias("profile_type"), F.lit(m.TASK).alias("unit"),
-        )
-        number = F.col("id")
-        lines = _line(
-            one, "SparkListenerTaskEnd", number.alias("Stage ID"),
-            number.alias("Stage Attempt ID"),
-            F.struct(
-                number.alias("Task ID"), _ms("ts").alias("Launch Time"),
-                _ms("ts").alias("Finish Time"),
-            ).alias("Task Info"),
-        ).unionByName(
-            _line(
-                one, "SparkListenerJobEnd", number.alias("Job ID"),
-                _ms("ts").alias("Completion Time"),
-            )
-        )
-        if moment == SENTINELS[0]:
-            profiles_so_far, lines_so_far = steps.pop()
-            profile, lines = profiles_so_far.unionByName(profile), lines_so_far.unionByName(lines)
-        steps.append((profile, lines))
-    return steps
+    return profile, lines[0].unionByName(lines[1]).unionByName(lines[2])
+
+
+def stream_steps(spark: SparkSession, landing: Landing) -> list[tuple[DataFrame, DataFrame, Column]]:
+    """``(profiles, log lines, when they arrive)`` of each step."""
+    paths = (
+        "['Task Info']['Finish Time']", "['Completion Time']", "['Submission Time']",
+        "['Stage Info']['Submission Time']", "['Timestamp']", "['Task Info']['Launch Time']",
+    )
+    ms = F.coalesce(*[F.nullif(F.get_json_object("value", f"${p}").cast("bigint"), F.lit(0)) for p in paths])
+    lines = landing.log.withColumn("ts", F.timestamp_millis(ms))
+    late = F.col("ts") >= F.lit(STREAM_SPLIT).cast("timestamp")
+    steps = [(landing.profiles.filter(half), lines.filter(half).drop("ts")) for half in (late, ~late)]
+    steps.append(_end_step(spark))
+    return [(*step, F.lit(at).cast("timestamp")) for step, at in zip(steps, ARRIVALS)]
 
 
 _landed: dict[tuple[str, str], str] = {}

@@ -56,8 +56,8 @@ def app_id_of(path: Column) -> Column:
     return F.regexp_replace(name, r"^(application_\d+_\d+)_\d+$", "$1")
 
 
-def _with_app_id(lines: DataFrame) -> DataFrame:
-    return lines.select(app_id_of(F.col("_metadata.file_path")).alias("app_id"), "value")
+def _with_app_id(lines: DataFrame, *more: Column) -> DataFrame:
+    return lines.select(app_id_of(F.col("_metadata.file_path")).alias("app_id"), "value", *more)
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
@@ -66,11 +66,11 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Finished or rolled log files, each read once."""
+    """Finished or rolled log files, each read once; ``arrived`` is when the file was written."""
     reader = spark.readStream.option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _with_app_id(reader.text(path))
+    return _with_app_id(reader.text(path), F.col("_metadata.file_modification_time").alias("arrived"))
 
 
 MILLIS_RANGE = (-62_135_596_800_000, 253_402_300_799_999)
@@ -79,10 +79,12 @@ MILLIS_RANGE = (-62_135_596_800_000, 253_402_300_799_999)
 def parse_events(log: DataFrame, *events: str) -> DataFrame:
     """One typed row per line of the chosen events; only their fields are parsed.
 
-    A table of such rows is only filtered, so all readers below accept either.
+    A table of such rows is only filtered, so all readers below accept either. Lines that say when
+    they ``arrived`` keep that.
     """
     if "value" not in log.columns:
         return log.filter(F.col("event").isin(*events))
+    arrived = ["arrived"] if "arrived" in log.columns else []
     mentioned = reduce(Column.__or__, [F.contains("value", F.lit(e)) for e in events])
     # A time beyond the years 1 to 9999 is no time; one bad number must not stop the run.
     millis = lambda field: F.when(
@@ -91,9 +93,14 @@ def parse_events(log: DataFrame, *events: str) -> DataFrame:
     parsed = {field for event in events for field in _FIELDS[event]}
     schema = ", ".join(["Event STRING"] + [f"`{f}` {_TYPES[f]}" for f in _TYPES if f in parsed])
     absent = {f: F.lit(None).cast(kind) for f, kind in _TYPES.items() if f not in parsed}
+    body = F.from_json("value", schema)
+    if arrived:
+        # On a stream all lines move the clock: a filter would be pushed below its watermark.
+        body = F.when(mentioned, body)
+    else:
+        log = log.filter(mentioned)
     return (
-        log.filter(mentioned)
-        .select("app_id", F.inline(F.array(F.from_json("value", schema))))
+        log.select("app_id", *arrived, F.inline(F.array(body)))
         .filter(F.col("Event").isin(*events))
         .withColumns(absent)
         .select(
@@ -112,6 +119,7 @@ def parse_events(log: DataFrame, *events: str) -> DataFrame:
             F.when(F.col("Event") == JOB_END, millis("Completion Time"))
             .when(F.col("Event") == TASK_END, millis("Task Info.Finish Time")).alias("end_ts"),
             F.coalesce("Job Result.Result", "Task End Reason.Reason").alias("outcome"),
+            *arrived,
         )
     )
 
@@ -130,9 +138,19 @@ def app_start(log: DataFrame) -> DataFrame:
     )
 
 
+def _kept(rows: DataFrame, *columns) -> DataFrame:
+    return rows.select(*columns, *(["arrived"] if "arrived" in rows.columns else []))
+
+
 def job_ends(log: DataFrame) -> DataFrame:
-    return parse_events(log, JOB_END).select(
-        "app_id", "job_id", "end_ts", F.col("outcome").alias("result")
+    return _kept(parse_events(log, JOB_END), "app_id", "job_id", "end_ts", F.col("outcome").alias("result"))
+
+
+def job_starts(log: DataFrame) -> DataFrame:
+    """One row per started job and stage that it lists."""
+    return _kept(
+        parse_events(log, JOB_START), "app_id", "job_id", "start_ts",
+        F.explode(F.array_distinct("stage_ids")).alias("stage_id"),
     )
 
 
@@ -159,8 +177,8 @@ def stage_events(log: DataFrame) -> DataFrame:
 
 
 def task_ends(log: DataFrame) -> DataFrame:
-    return parse_events(log, TASK_END).select(
-        "app_id", "task_id", "stage_id", "attempt", "start_ts", "end_ts",
+    return _kept(
+        parse_events(log, TASK_END), "app_id", "task_id", "stage_id", "attempt", "start_ts", "end_ts",
         F.col("outcome").alias("reason"),
     )
 

@@ -1,184 +1,416 @@
-"""Outcome of tasks and completion of jobs from streams of events and usage.
+"""Tasks and jobs on streams, on the clock of arrival.
 
-A job is reported when it has ended and each of its ended tasks has either
-delivered its usage or been given up. Counting happens in native windowed
-aggregations, which merge rows before the shuffle; only one row per job and
-minute reaches the job's own state, however many tasks it has.
+No event time decides what is waited for: a task waits for its profile from the moment its end
+*arrived*, as long as the settings say, and so does a job. Applications may therefore land in any
+order, years apart; arrival is the one clock that runs alike for all of them, and the only column
+with a watermark (its delay allows for clocks that differ between writers). The clock goes on with
+every line and profile that arrives, of whatever application; where all feeds may fall silent, land
+a line from time to time.
+
+``owned_ends`` finds the job of each ended task, ``track_tasks`` keeps the state of tasks and gives
+out a changelog, ``track_jobs`` keeps the state of jobs. Nothing is dropped for being late: what
+arrives after an outcome was given out takes that outcome back (``n`` is -1) and gives out another,
+marked ``late``. Every state is forgotten a ``retention`` after its last news, also that of tasks
+and jobs that never end.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from stacktally import model as m
 from stacktally.model import Settings
+from stacktally.sources import eventlog as e
 
-COUNT_WINDOW = "1 minute"
-COUNTS = "app_id STRING, job_id BIGINT, ts TIMESTAMP, ended_jobs BIGINT, tasks BIGINT, outcomes BIGINT, received BIGINT"
-JOB_REPORT = "app_id STRING, job_id BIGINT, tasks BIGINT, outcomes BIGINT, received BIGINT, complete BOOLEAN"
-
+RETENTION = "7 days"
+# How far apart the clocks of two writers may be. What a task's state gives out carries the time of
+# its watermark, so the stream of jobs, which reads that next to log lines, allows for more.
+SKEW, JOB_SKEW = "10 seconds", "30 seconds"
+# Pieces that the tasks of one stage are dealt into when they meet the job that lists it.
+STAGE_PIECES = 8
+# Tasks are numbered on as an application runs; so many neighbours (2 to the power of) share a state.
+BLOCK_BITS = 8
 
-def _known(task_ends: DataFrame, owners: DataFrame) -> DataFrame:
-    """Stream-static join: tasks whose stage no job lists are ignored."""
-    return task_ends.join(
-        owners.select("app_id", "stage_id", "job_id"), ["app_id", "stage_id"]
-    )
+OWNED = (
+    "app_id STRING, stage_id BIGINT, task_id BIGINT, job_id BIGINT, job_start TIMESTAMP, arrived TIMESTAMP"
+)
+TRACKED = (
+    "app_id STRING, job_id BIGINT, stage_id BIGINT, task_id BIGINT, kind STRING, metric STRING, udf STRING, "
+    "is_total BOOLEAN, value DOUBLE, ts TIMESTAMP, present BOOLEAN, n INT, late BOOLEAN, arrived TIMESTAMP"
+)
+# Kinds of tracked rows.
+ENDED, USAGE, OUTCOME = "ended", "usage", "outcome"
+JOB_REPORT = (
+    "app_id STRING, job_id BIGINT, tasks BIGINT, outcomes BIGINT, received BIGINT, complete BOOLEAN, revision INT"
+)
 
 
-def task_outcomes(
-    task_ends: DataFrame,
-    usage: DataFrame,
-    owners: DataFrame,
-    settings: Settings = Settings(),
-    max_task_duration: str = "1 hour",
-) -> DataFrame:
-    """One row per ended task and metric: has its usage landed, or is it given up?
+def owned_ends(log: DataFrame, retention: str = RETENTION, pieces: int = STAGE_PIECES) -> DataFrame:
+    """``OWNED``: a row per ended task and job that lists its stage, as soon as both have arrived.
 
-    Usage may land while the task runs, hence the lower bound. An unmatched task
-    is given out as missing once the watermark has passed the last moment its
-    profile could land.
+    ``log`` are streamed lines with ``arrived``. Which of several jobs owns the task is left to its
+    state. A stage may hold most tasks: its tasks are dealt into ``pieces`` and the few rows of jobs
+    are repeated for each.
     """
-    give_up = f"{settings.give_up_ms} milliseconds"
-    ends = _known(
-        task_ends.select("app_id", "stage_id", "task_id", "end_ts").withWatermark("end_ts", give_up),
-        owners,
-    ).select(
-        F.col("app_id"), "job_id", "stage_id", F.col("task_id"), "end_ts",
-        F.explode(F.array(F.lit(m.CPU), F.lit(m.MEM))).alias("metric"),
+    ends = e.task_ends(log.withWatermark("arrived", SKEW)).select(
+        "app_id", "stage_id", "task_id", F.col("arrived").alias("end_arrived"),
+        F.pmod(F.xxhash64("task_id"), F.lit(pieces)).alias("piece"),
     )
-    landed = (
-        usage.filter(F.col("unit") == m.TASK)
-        .select(
-            F.col("app_id").alias("u_app"), F.col("id").alias("u_task"),
-            F.col("metric").alias("u_metric"), "ts",
-        )
-        .withWatermark("ts", f"{settings.upload_interval_ms} milliseconds")
-        .dropDuplicatesWithinWatermark(["u_app", "u_task", "u_metric", "ts"])
+    starts = e.job_starts(log.withWatermark("arrived", SKEW)).select(
+        F.col("app_id").alias("s_app"), F.col("stage_id").alias("s_stage"), "job_id",
+        F.col("start_ts").alias("job_start"), F.col("arrived").alias("start_arrived"),
+        F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("s_piece"),
     )
-    matched = ends.join(
-        landed,
-        (F.col("app_id") == F.col("u_app"))
-        & (F.col("task_id") == F.col("u_task"))
-        & (F.col("metric") == F.col("u_metric"))
-        & (F.col("ts") >= F.col("end_ts") - F.expr(f"INTERVAL {max_task_duration}"))
-        & (F.col("ts") <= F.col("end_ts") + F.expr(f"INTERVAL {give_up}")),
-        "left_outer",
+    span = F.expr(f"INTERVAL {retention}")
+    both = ends.join(
+        starts,
+        (F.col("app_id") == F.col("s_app")) & (F.col("stage_id") == F.col("s_stage")) & (F.col("piece") == F.col("s_piece"))
+        & (F.col("start_arrived") >= F.col("end_arrived") - span)
+        & (F.col("start_arrived") <= F.col("end_arrived") + span),
+    )
+    return both.select(
+        "app_id", "stage_id", "task_id", "job_id", "job_start",
+        F.greatest("end_arrived", "start_arrived").alias("arrived"),
     )
-    # Only one event-time column may leave a join that another operator follows.
-    return matched.select(
-        "app_id", "job_id", "stage_id", "task_id", "end_ts", "metric",
-        F.col("u_task").isNotNull().alias("present"),
-    ).dropDuplicatesWithinWatermark(["app_id", "task_id", "metric"])
 
 
-def missing_tasks(outcomes: DataFrame) -> DataFrame:
-    return outcomes.filter(~F.col("present")).drop("present")
+def _task_state(upload_ms: int, give_up_ms: int, retention_ms: int) -> StatefulProcessor:
+    # The class is local, so it travels to the workers by value; they need no copy of this package.
+    given_out = Row("app_id", "rows")
+    # Places in a task's state.
+    stage, job, job_start, ended, given, cpu, mem, expires, usage = range(9)
 
+    class TaskState(StatefulProcessor):
+        """The tasks of one block: owner, end, newest value per metric and function, what was given out.
 
-def _counts(rows: DataFrame, time: str, **counters) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    sums = [
-        F.coalesce(F.sum(counters[c]), zero).alias(c) if c in counters else zero.alias(c)
-        for c in ("ended_jobs", "tasks", "outcomes", "received")
-    ]
-    grouped = rows.groupBy("app_id", "job_id", F.window(time, COUNT_WINDOW).alias("w"))
-    return grouped.agg(*[s for s in sums]).select(
-        "app_id", "job_id", F.col("w.start").alias("ts"), "ended_jobs", "tasks", "outcomes", "received"
-    )
+        They are kept as one JSON text with the time of the next timer, so a batch costs one read and
+        one write for all tasks of the block.
+        """
+
+        def init(self, handle):
+            self.handle = handle
+            self.state = handle.getValueState("tasks", "tasks STRING, timer BIGINT")
+
+        def _load(self):
+            held = self.state.get()
+            if held is None:
+                return {}, None
+            tasks = {}
+            for task_id, *s in json.loads(held[0]):
+                s[usage] = {(metric, udf, is_total): (ts, value) for metric, udf, is_total, ts, value in s[usage]}
+                tasks[task_id] = s
+            return tasks, held[1]
+
+        def _save(self, tasks, timer):
+            if not tasks:
+                self.state.clear()
+                return
+            due = min(map(self._due, tasks.values()))
+            if timer is None or due < timer:
+                timer = due
+                self.handle.registerTimer(timer)
+            rows = [[task_id, *s[:usage], [[*k, *v] for k, v in s[usage].items()]] for task_id, s in tasks.items()]
+            self.state.update((json.dumps(rows), timer))
+
+        def _due(self, s):
+            if s[ended] is None or s[given]:
+                return s[expires]
+            both = {k[0] for k in s[usage]} >= {"CPU", "MEM"}
+            return min(s[expires], s[ended] + (upload_ms if both else give_up_ms))
+
+        def _usage(self, task_id, s, at, changed, late):
+            for metric, udf, is_total in changed:
+                ts, value = s[usage][metric, udf, is_total]
+                yield s[job], s[stage], task_id, "usage", metric, udf, is_total, value, ts, None, 1, late, at
+
+        def _outcomes(self, task_id, s, at, n, late):
+            for metric, present in (("CPU", s[cpu]), ("MEM", s[mem])):
+                yield s[job], s[stage], task_id, "outcome", metric, None, None, None, None, present, n, late, at
+
+        def _ended(self, task_id, s, at, n):
+            yield s[job], s[stage], task_id, "ended", None, None, None, None, None, None, n, s[given], at
+
+        def _seen(self, s):
+            seen = {k[0] for k in s[usage]}
+            return ["CPU" in seen, "MEM" in seen]
 
+        def _apply(self, task_id, s, rows):
+            at, changed, owner = 0, set(), None
+            for arrived, is_end, *fields in rows:
+                at = max(at, arrived)
+                if is_end:
+                    stage_id, *rank = fields
+                    if owner is None or rank > owner[0]:
+                        owner = (rank, stage_id)
+                else:
+                    *k, stamp, value = fields
+                    k, v = tuple(k), (stamp, value)
+                    if k not in s[usage] or v > s[usage][k]:
+                        s[usage][k] = v
+                        changed.add(k)
+            s[expires] = max(s[expires], at + retention_ms)
+            if owner and (s[ended] is None or owner[0] > [s[job_start], s[job]]):
+                if s[ended] is None:
+                    s[ended] = at
+                else:  # another job that lists the stage started later
+                    yield from self._ended(task_id, s, at, -1)
+                    if s[given]:
+                        yield from self._outcomes(task_id, s, at, -1, True)
+                (s[job_start], s[job]), s[stage] = owner
+                yield from self._ended(task_id, s, at, 1)
+                if s[given]:
+                    yield from self._outcomes(task_id, s, at, 1, True)
+            if s[given] and changed:
+                if self._seen(s) != s[cpu:expires]:
+                    yield from self._outcomes(task_id, s, at, -1, True)
+                    s[cpu:expires] = self._seen(s)
+                    yield from self._outcomes(task_id, s, at, 1, True)
+                yield from self._usage(task_id, s, at, sorted(changed, key=repr), True)
 
-def outcome_counts(outcomes: DataFrame) -> DataFrame:
-    one = F.lit(1).cast("bigint")
-    return _counts(
-        outcomes, "end_ts", outcomes=one, received=F.col("present").cast("bigint")
+        def handleInputRows(self, key, rows, timerValues):
+            tasks, timer = self._load()
+            news, out = {}, []
+            for packed in rows:
+                for task_id, *row in json.loads(packed.rows):
+                    news.setdefault(task_id, []).append(row)
+            for task_id, of_task in news.items():
+                s = tasks.setdefault(task_id, [None, None, None, None, False, False, False, 0, {}])
+                out += self._apply(task_id, s, of_task)
+            self._save(tasks, timer)
+            if out:
+                yield given_out(key[0], json.dumps(out))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            tasks, timer = self._load()
+            if timer is None or expiredTimerInfo.getExpiryTimeInMs() < timer:
+                return  # an earlier timer has done its work
+            now, out = timerValues.getCurrentWatermarkInMs(), []
+            for task_id, s in list(tasks.items()):
+                if now < self._due(s):
+                    continue
+                if s[ended] is not None and not s[given]:
+                    s[given], s[cpu:expires] = True, self._seen(s)
+                    out += self._usage(task_id, s, now, s[usage], False)
+                    out += self._outcomes(task_id, s, now, 1, False)
+                if now >= s[expires]:
+                    if not s[given]:  # it never ended: nothing is missing, its usage is what there is
+                        out += self._usage(task_id, s, now, s[usage], False)
+                    del tasks[task_id]
+            self._save(tasks, None)
+            if out:
+                yield given_out(key[0], json.dumps(out))
+
+        def close(self):
+            pass
+
+    return TaskState()
+
+
+def _pack_rows():
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            groups: dict = {}
+            for app_id, block, task_id, arrived, is_end, stage_id, job_start, job_id, metric, udf, is_total, ts, value in (
+                rows.itertuples(index=False, name=None)
+            ):
+                group = groups.setdefault((app_id, block), [0, []])
+                group[0] = max(group[0], arrived)
+                fields = [stage_id, job_start, job_id] if is_end else [metric, udf, is_total, ts, value]
+                group[1].append([task_id, arrived, is_end, *fields])
+            yield pd.DataFrame(
+                [(*key, arrived, json.dumps(group)) for key, (arrived, group) in groups.items()],
+                columns=["app_id", "block", "arrived_ms", "rows"],
+            )
+
+    return packed
+
+
+PACKED = "app_id STRING, block BIGINT, arrived_ms BIGINT, rows STRING"
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows of one block as one text per batch of rows: a state costs as much for one row as for many."""
+    columns = (
+        "app_id", F.shiftright("task_id", BLOCK_BITS).alias("block"), "task_id", F.unix_millis("arrived").alias("arrived_ms"),
+        "is_end", "stage_id", "job_start", "job_id", "metric", "udf", "is_total", "ts", "value",
     )
+    packed = rows.select(*columns).mapInPandas(_pack_rows(), PACKED)
+    return packed.withColumn("arrived", F.timestamp_millis("arrived_ms")).withWatermark("arrived", SKEW)
 
 
-def end_counts(
-    task_ends: DataFrame, job_ends: DataFrame, owners: DataFrame, settings: Settings = Settings()
+def track_tasks(
+    owned: DataFrame, usage: DataFrame, settings: Settings = Settings(), retention_ms: int = 7 * 86_400_000
 ) -> DataFrame:
-    """Ended tasks and jobs per job and minute. Repeated log lines count once."""
-    delay = f"{settings.give_up_ms} milliseconds"
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    tasks = _known(
-        task_ends.select("app_id", "stage_id", "task_id", "end_ts")
-        .withWatermark("end_ts", delay)
-        .dropDuplicatesWithinWatermark(["app_id", "task_id"]),
-        owners,
-    ).select("app_id", "job_id", "end_ts", zero.alias("ended_jobs"), one.alias("tasks"))
-    jobs = (
-        job_ends.select("app_id", "job_id", "end_ts")
-        .withWatermark("end_ts", delay)
-        .dropDuplicatesWithinWatermark(["app_id", "job_id"])
-        .select("app_id", "job_id", "end_ts", one.alias("ended_jobs"), zero.alias("tasks"))
+    """``TRACKED``: what becomes of each task, as a changelog.
+
+    ``owned`` are streamed rows of ``owned_ends``, ``usage`` streamed usage with ``arrived``. A task
+    whose end is known gives out an ``ended`` row at once; when both metrics have come, an upload
+    interval after its end, else when its wait is over, its newest values (``usage``, by time, then
+    value) and an ``outcome`` per metric. Usage of a task that never ends is given out when its state
+    is forgotten.
+    """
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+    # Numbers that a kind does not have are zero, so that no column of numbers has nulls in Python.
+    ends = owned.select(
+        "app_id", "task_id", "arrived", F.lit(True).alias("is_end"), "stage_id", "job_id",
+        F.coalesce(F.unix_millis("job_start"), F.lit(-1)).alias("job_start"), none.alias("metric"), none.alias("udf"),
+        F.lit(False).alias("is_total"), F.lit(0.0).alias("value"), zero.alias("ts"),
+    )
+    landed = usage.filter(F.col("unit") == m.TASK).select(
+        "app_id", F.col("id").alias("task_id"), "arrived", F.lit(False).alias("is_end"), zero.alias("stage_id"),
+        zero.alias("job_id"), zero.alias("job_start"), "metric", "udf", "is_total", "value",
+        F.unix_micros("ts").alias("ts"),
     )
-    return _counts(
-        tasks.unionByName(jobs), "end_ts",
-        ended_jobs=F.col("ended_jobs"), tasks=F.col("tasks"),
+    state = _task_state(settings.upload_interval_ms, settings.give_up_ms, retention_ms)
+    rows = _packed(ends).unionByName(_packed(landed))
+    tracked = rows.groupBy("app_id", "block").transformWithState(state, "app_id STRING, rows STRING", "append", "eventTime")
+    fields = [f for f in TRACKED.split(", ") if not f.startswith("app_id")]
+    kinds = {"ts TIMESTAMP": "ts BIGINT", "arrived TIMESTAMP": "arrived BIGINT"}
+    # Lists, not objects: they are shorter, and their items are told by their place.
+    return _unpacked(tracked, [kinds.get(f, f) for f in fields]).withColumns(
+        {"ts": F.timestamp_micros("ts"), "arrived": F.timestamp_millis("arrived")}
     )
 
 
-def stream_counts(spark: SparkSession, path: str, delay: str) -> DataFrame:
-    return spark.readStream.schema(COUNTS).parquet(path).withWatermark("ts", delay)
+def _unpacked(tracked: DataFrame, fields: list[str]) -> DataFrame:
+    rows = tracked.select("app_id", F.explode(F.from_json("rows", "array<array<string>>")).alias("row"))
+    return rows.select(
+        "app_id", *[F.get("row", F.lit(i)).cast(f.split()[1]).alias(f.split()[0]) for i, f in enumerate(fields)]
+    )
 
 
-def job_reports(counts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Emits each job once, when it is complete or its time is over, and forgets it.
+def stream_tracked(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema(TRACKED).parquet(path)
 
-    ``counts`` is the union of ended tasks and jobs with outcomes; each side
-    carries its own watermark, so the slower one holds the timers back.
-    """
-    grace_ms = 2 * settings.give_up_ms + 60_000
-
-    # Both functions are local, so they travel to the workers by value and the
-    # workers need no copy of this package.
-    def report_row(key: tuple, tasks: int, outcomes: int, received: int) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "app_id": [key[0]], "job_id": [key[1]], "tasks": [tasks], "outcomes": [outcomes],
-                "received": [received], "complete": [outcomes >= 2 * tasks],
-            }
-        )
-
-    def update(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        jobs, tasks, outcomes, received, last_ms = (
-            state.get if state.exists else (0, 0, 0, 0, 0)
-        )
-        if state.hasTimedOut:
-            state.remove()
-            yield report_row(key, tasks, outcomes, received)
-            return
-        for batch in batches:
-            jobs += int(batch["ended_jobs"].sum())
-            tasks += int(batch["tasks"].sum())
-            outcomes += int(batch["outcomes"].sum())
-            received += int(batch["received"].sum())
-            ended = batch.loc[batch["ended_jobs"] > 0, "ts"]
-            if len(ended):
-                last_ms = max(last_ms, int(ended.max().value // 1_000_000))
-        if jobs and outcomes >= 2 * tasks:
-            if state.exists:
-                state.remove()
-            yield report_row(key, tasks, outcomes, received)
-            return
-        state.update((jobs, tasks, outcomes, received, last_ms))
-        if jobs:
-            state.setTimeoutTimestamp(
-                max(last_ms + grace_ms, state.getCurrentWatermarkMs() + 1)
+
+def outcomes(tracked: DataFrame) -> DataFrame:
+    """The outcomes that hold: ``app_id, job_id, stage_id, task_id, metric, present``."""
+    key = ["app_id", "job_id", "stage_id", "task_id", "metric", "present"]
+    return tracked.filter(F.col("kind") == OUTCOME).groupBy(*key).agg(F.sum("n").alias("n")).filter("n > 0").drop("n")
+
+
+def missing_tasks(tracked: DataFrame) -> DataFrame:
+    return outcomes(tracked).filter(~F.col("present")).drop("present")
+
+
+def newest_usage(tracked: DataFrame) -> DataFrame:
+    """The newest value of each task's functions; of equal times the largest."""
+    rows = tracked.filter(F.col("kind") == USAGE)
+    newest = F.max(F.struct("ts", "value")).alias("newest")
+    return rows.groupBy("app_id", "task_id", "metric", "udf", "is_total").agg(newest).select(
+        "app_id", "task_id", "metric", "udf", "is_total", "newest.value", "newest.ts"
+    )
+
+
+COUNTS = (
+    "app_id STRING, job_id BIGINT, ended_ms BIGINT, tasks BIGINT, outcomes BIGINT, received BIGINT, arrived TIMESTAMP"
+)
+
+
+def _merge_rows():
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                yield rows.groupby(["app_id", "job_id"], as_index=False, dropna=False).agg(
+                    {"ended_ms": "max", "tasks": "sum", "outcomes": "sum", "received": "sum", "arrived": "max"}
+                )
+
+    return merged
+
+
+def _job_state(upload_ms: int, over_ms: int, retention_ms: int) -> StatefulProcessor:
+    report_row = Row(*(field.split()[0] for field in JOB_REPORT.split(", ")))
+
+    class JobState(StatefulProcessor):
+        """Counts, the arrival of the job's end, and the counts of its last report."""
+
+        def init(self, handle):
+            self.handle = handle
+            self.state = handle.getValueState(
+                "job",
+                "tasks BIGINT, outcomes BIGINT, received BIGINT, ended BIGINT, revision INT, expires BIGINT, said ARRAY<BIGINT>",
             )
 
-    return counts.groupBy("app_id", "job_id").applyInPandasWithState(
-        update,
-        outputStructType=JOB_REPORT,
-        stateStructType="jobs BIGINT, tasks BIGINT, outcomes BIGINT, received BIGINT, last_ms BIGINT",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.EventTimeTimeout,
+        def _report(self, key, s):
+            if s[4] and list(s[6]) == s[:3]:
+                return
+            s[4] += 1
+            s[6] = s[:3]
+            yield report_row(key[0], key[1], s[0], s[1], s[2], s[1] >= 2 * s[0], s[4])
+
+        def handleInputRows(self, key, rows, timerValues):
+            fresh = not self.state.exists()
+            s = [0, 0, 0, None, 0, 0, []] if fresh else list(self.state.get())
+            at = 0
+            for r in rows:
+                at = max(at, r.arrived_ms)
+                s[0], s[1], s[2] = s[0] + r.tasks, s[1] + r.outcomes, s[2] + r.received
+                if r.ended_ms is not None and r.ended_ms >= 0 and s[3] is None:
+                    s[3] = int(r.ended_ms)
+                    self.handle.registerTimer(s[3] + upload_ms)
+                    self.handle.registerTimer(s[3] + over_ms)
+            if s[4]:  # it was reported before
+                yield from self._report(key, s)
+            s[5] = max(s[5], at + retention_ms)
+            if fresh:
+                self.handle.registerTimer(s[5])
+            self.state.update(tuple(s))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if not self.state.exists():
+                return
+            s, now = list(self.state.get()), timerValues.getCurrentWatermarkInMs()
+            if s[3] is not None and not s[4]:
+                if now >= s[3] + over_ms or (now >= s[3] + upload_ms and s[1] >= 2 * s[0]):
+                    yield from self._report(key, s)
+            if now >= s[5]:
+                self.state.clear()
+                return
+            self.handle.registerTimer(s[5])
+            self.state.update(tuple(s))
+
+        def close(self):
+            pass
+
+    return JobState()
+
+
+def track_jobs(
+    log: DataFrame, tracked: DataFrame, settings: Settings = Settings(), retention_ms: int = 7 * 86_400_000
+) -> DataFrame:
+    """``JOB_REPORT``: each ended job, when all its ended tasks have an outcome or its wait is over.
+
+    ``log`` are streamed lines with ``arrived``, ``tracked`` the streamed changelog of tasks, merged
+    per job before the shuffle. A job waits an upload interval from the arrival of its end, so that
+    counts of its tasks that land with it are in. Counts that change after a report make another
+    ``revision``. Jobs that never end and counts that come long after are forgotten.
+    """
+    zero = F.lit(0).cast("bigint")
+    ends = e.job_ends(log.withWatermark("arrived", JOB_SKEW)).select(
+        "app_id", "job_id", F.unix_millis("arrived").alias("ended_ms"), zero.alias("tasks"), zero.alias("outcomes"),
+        zero.alias("received"), "arrived",
+    )
+    n = F.col("n").cast("bigint")
+    count = lambda test, name: F.when(test, n).otherwise(zero).alias(name)
+    counts = tracked.filter(F.col("kind") != USAGE).filter(F.col("job_id").isNotNull()).select(
+        "app_id", "job_id", F.lit(-1).cast("bigint").alias("ended_ms"), count(F.col("kind") == ENDED, "tasks"),
+        count(F.col("kind") == OUTCOME, "outcomes"),
+        count((F.col("kind") == OUTCOME) & F.col("present"), "received"), "arrived",
+    ).mapInPandas(_merge_rows(), COUNTS).withWatermark("arrived", JOB_SKEW)
+    rows = ends.unionByName(counts).withColumn("arrived_ms", F.unix_millis("arrived"))
+    over = settings.give_up_ms + 2 * settings.upload_interval_ms + 60_000
+    return rows.groupBy("app_id", "job_id").transformWithState(
+        _job_state(settings.upload_interval_ms, over, retention_ms), JOB_REPORT, "append", "eventTime"
     )
 
+
+def newest_reports(reports: DataFrame) -> DataFrame:
+    fields = F.struct("tasks", "outcomes", "received", "complete")
+    last = reports.groupBy("app_id", "job_id").agg(F.max_by(fields, "revision").alias("last"))
+    return last.select("app_id", "job_id", "last.*")

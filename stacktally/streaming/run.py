@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import DataStreamWriter
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-def drain(writer: DataStreamWriter, checkpoint: str) -> None:
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside use the RocksDB state store, which keyed state with timers needs.
+
+    A query keeps the settings it was started with, so the session gets its own back.
+    """
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
+def drain(writer: DataStreamWriter, checkpoint: str, keyed: bool = False) -> StreamingQuery:
     """Processes everything available; the next call goes on from the checkpoint."""
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with keyed_state(SparkSession.active()) if keyed else nullcontext():
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return query
 
 
 def to_files(rows: DataFrame, path: str) -> DataStreamWriter:

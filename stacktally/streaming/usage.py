@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from stacktally import model as m
-from stacktally.model import Settings
 from stacktally.operators import profiles as p
 from stacktally.plans import hotspots
 
 
+LANDED = m.USAGE + ", arrived TIMESTAMP"
+
+
 def usage_writer(
-    profiles: DataFrame, registrations: DataFrame, path: str, rejected_path: str | None = None
+    profiles: DataFrame, registrations: DataFrame, path: str, rejected_path: str | None = None,
+    arrived: Column | None = None,
 ) -> DataStreamWriter:
     """Turns each micro-batch of profiles into usage rows below ``path``.
 
     Invalid profiles do not stop a batch; they can be kept in a second table. A
-    batch that is run again after a failure overwrites its own folder.
+    batch that is run again after a failure overwrites its own folder. Usage ``arrived`` when it is
+    written, unless told otherwise.
     """
+    arrived = F.current_timestamp() if arrived is None else arrived
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         folder = f"batch={batch_id}"
         usage = hotspots.task_usage(batch, registrations)
-        usage.write.mode("overwrite").parquet(f"{path}/{folder}")
+        usage.withColumn("arrived", arrived).write.mode("overwrite").parquet(f"{path}/{folder}")
         if rejected_path is not None:
             p.rejected_profiles(batch).write.mode("overwrite").parquet(f"{rejected_path}/{folder}")
 
@@ -32,24 +37,5 @@ def usage_writer(
 
 
 def stream_usage(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(m.USAGE).option("recursiveFileLookup", "true").parquet(path)
-
-
-def windowed_usage(
-    usage: DataFrame, settings: Settings = Settings(), window: str = "1 hour"
-) -> DataFrame:
-    """The largest value of each task's functions per window of landing time.
-
-    Snapshots only grow, so the maximum is also the newest; a delivery that is
-    repeated changes nothing. A window is given out once the upload interval has
-    passed after its end, and its state is dropped.
-    """
-    return (
-        usage.filter(F.col("unit") == m.TASK)
-        .withWatermark("ts", f"{settings.upload_interval_ms} milliseconds")
-        .groupBy(
-            "app_id", F.col("id").alias("task_id"), "metric", "udf", "is_total",
-            F.window("ts", window).alias("landed"),
-        )
-        .agg(F.max("value").alias("value"))
-    )
+    """Landed usage with the time it ``arrived``."""
+    return spark.readStream.schema(LANDED).option("recursiveFileLookup", "true").parquet(path)

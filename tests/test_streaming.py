@@ -1,7 +1,9 @@
-"""Watermarks, late rows, duplicates, timers and restarts on streams of files."""
+"""Order of arrival, late rows, repeated rows, timers and state on streams of files."""
 
 import datetime as dt
-import itertools
+import json
+
+import pytest
 
 from stacktally import fixtures as fx
 from stacktally import model as m
@@ -18,6 +20,14 @@ def at(minutes=0.0):
     return T0 + dt.timedelta(minutes=minutes)
 
 
+@pytest.fixture(autouse=True)
+def few_state_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 class Table:
     """A folder that grows by one file per step."""
 
@@ -33,109 +43,143 @@ class Table:
         return self.spark.readStream.schema(self.schema).parquet(self.path)
 
 
-def usage_row(task, minute, value=1.0, metric=m.CPU, udf=None):
-    return ("a", "task", task, metric, udf, udf is None, value, at(minute))
+def arrival(seconds):
+    return dt.datetime(2024, 5, 1) + dt.timedelta(seconds=seconds)
 
 
-class Sink:
-    def __init__(self, spark, folder, name, schema):
-        self.spark, self.schema = spark, schema
-        self.path, self.checkpoint = f"{folder}/{name}", f"{folder}/checkpoint-{name}"
+DAY = 86_400
+LINES = m.LOG_LINE + ", arrived TIMESTAMP"
 
-    def drain(self, rows):
-        run.drain(run.to_files(rows, self.path), self.checkpoint)
-        return self.spark.read.schema(self.schema).parquet(self.path)
 
+def line(app, event, second, **fields):
+    return (app, json.dumps({"Event": event} | fields), arrival(second))
 
-def test_window_is_given_out_once_and_late_rows_are_dropped(spark, tmp_path):
-    table = Table(spark, tmp_path / "usage", m.USAGE)
-    sink = Sink(
-        spark, tmp_path, "out",
-        "app_id STRING, task_id BIGINT, metric STRING, udf STRING, is_total BOOLEAN, value DOUBLE",
-    )
 
-    def step(*rows):
-        table.add(*rows)
-        out = sink.drain(su.windowed_usage(table.stream(), SETTINGS))
-        return sorted((r.task_id, r.udf, r.value) for r in out.collect())
-
-    first = usage_row(1, 5, 3.0, udf="f")
-    # The same delivery twice, then a larger snapshot of the same window.
-    assert step(first, first) == []
-    assert step(usage_row(1, 30, 7.0, udf="f"), usage_row(2, 59, 1.0)) == []
-    assert step(usage_row(3, 130)) == [(1, "f", 7.0), (2, None, 1.0)]
-    # Two hours late: the window was closed, the row is dropped for good.
-    assert step(usage_row(1, 40, 99.0, udf="f")) == [(1, "f", 7.0), (2, None, 1.0)]
-    assert step(usage_row(4, 400)) == [(1, "f", 7.0), (2, None, 1.0), (3, None, 1.0)]
-
-
-ENDS = "app_id STRING, stage_id BIGINT, task_id BIGINT, end_ts TIMESTAMP"
-OUTCOMES = "app_id STRING, job_id BIGINT, stage_id BIGINT, task_id BIGINT, end_ts TIMESTAMP, metric STRING, present BOOLEAN"
-
-
-def test_outcomes_of_tasks(spark, tmp_path):
-    ends, usage = Table(spark, tmp_path / "ends", ENDS), Table(spark, tmp_path / "usage", m.USAGE)
-    owners = spark.createDataFrame([("a", 1, 7)], "app_id STRING, stage_id BIGINT, job_id BIGINT")
-    sink = Sink(spark, tmp_path, "out", OUTCOMES)
-
-    def drain():
-        rows = sink.drain(sj.task_outcomes(ends.stream(), usage.stream(), owners, SETTINGS)).collect()
-        assert len(rows) == len({(r.task_id, r.metric) for r in rows})
-        assert {r.job_id for r in rows} <= {7}
-        return {(r.task_id, r.metric): r.present for r in rows}
-
-    ends.add(("a", 1, 1, at(10)), ("a", 1, 2, at(10)), ("a", 99, 3, at(10)))
-    # Two snapshots of task 1: one while it ran, one after its end, both in time.
-    usage.add(
-        usage_row(1, 1), usage_row(1, 10.1), usage_row(1, 10.1, udf="f"),
-        usage_row(1, 10.1, metric=m.MEM), usage_row(2, 10.5), usage_row(3, 10.1),
+def starts(job, stages, minute, second, app="a"):
+    time = int(at(minute).timestamp() * 1000)
+    return line(app, "SparkListenerJobStart", second, **{"Job ID": job, "Stage IDs": stages, "Submission Time": time})
+
+
+def ends(task, stage, second, app="a"):
+    return line(app, "SparkListenerTaskEnd", second, **{"Stage ID": stage, "Task Info": {"Task ID": task, "Finish Time": 1}})
+
+
+def job_ends(job, second, app="a"):
+    return line(app, "SparkListenerJobEnd", second, **{"Job ID": job, "Completion Time": 1})
+
+
+def usage_row(task, minute, second, value=1.0, metrics=(m.CPU, m.MEM), udf=None, app="a"):
+    return [(app, "task", task, x, udf, udf is None, value, at(minute), arrival(second)) for x in metrics]
+
+
+class Streams:
+    """The three streams over growing folders; ``step`` lands and drains, the last count of states is kept."""
+
+    def __init__(self, spark, folder):
+        self.spark, self.root = spark, str(folder)
+        self.log = Table(spark, f"{folder}/log", LINES)
+        self.usage = Table(spark, f"{folder}/usage", su.LANDED)
+        self.states = {}
+
+    def drain(self, rows, name, keyed=False):
+        query = run.drain(run.to_files(rows, f"{self.root}/{name}"), f"{self.root}/ck-{name}", keyed)
+        if query.lastProgress and keyed:
+            self.states[name] = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    def step(self, lines=(), usage=()):
+        for table, rows in ((self.log, list(lines)), (self.usage, [r for rs in usage for r in rs])):
+            if rows:
+                table.add(*rows)
+        self.drain(sj.owned_ends(self.log.stream()), "owned")
+        owned = self.spark.readStream.schema(sj.OWNED).parquet(f"{self.root}/owned")
+        self.drain(sj.track_tasks(owned, self.usage.stream(), SETTINGS, 7 * DAY * 1000), "tracked", True)
+        tracked = sj.stream_tracked(self.spark, f"{self.root}/tracked")
+        self.drain(sj.track_jobs(self.log.stream(), tracked, SETTINGS, 7 * DAY * 1000), "jobs", True)
+
+    def tick(self, second):
+        """Lets the clock go on by an application of its own."""
+        self.step([starts(0, [0], 0, second, "~"), ends(second, 0, second, "~")], [usage_row(second, 0, second, app="~")])
+
+    def tracked(self):
+        return self.spark.read.schema(sj.TRACKED).parquet(f"{self.root}/tracked").filter("app_id <> '~'")
+
+    def usage_now(self):
+        return {(r.app_id, r.task_id, r.metric, r.udf): r.value for r in sj.newest_usage(self.tracked()).collect()}
+
+    def outcomes(self):
+        return {(r.app_id, r.job_id, r.task_id, r.metric): r.present for r in sj.outcomes(self.tracked()).collect()}
+
+    def jobs(self):
+        reports = self.spark.read.schema(sj.JOB_REPORT).parquet(f"{self.root}/jobs").filter("app_id <> '~'")
+        return {
+            (r.app_id, r.job_id): (r.tasks, r.outcomes, r.received, r.complete)
+            for r in sj.newest_reports(reports).collect()
+        }
+
+
+def test_tasks_and_jobs_on_the_clock_of_arrival(spark, tmp_path):
+    s = Streams(spark, tmp_path)
+    # Application b ran years after a and lands before it; profiles come before, with and after ends.
+    s.step(
+        [starts(7, [1, 2], 10**6, 0, "b"), ends(1, 1, 0, "b"), ends(2, 1, 0, "b"), job_ends(7, 0, "b")],
+        [usage_row(1, 10**6, 0, 3.0, udf="f", app="b"), usage_row(1, 10**6, 0, 3.0, udf="f", app="b")],
+    )
+    assert s.outcomes() == {} and s.jobs() == {}
+    s.step(
+        [starts(7, [1], 5, 60), ends(1, 1, 60), ends(3, 99, 60), job_ends(7, 60), job_ends(8, 60), starts(8, [], 5, 60)],
+        [usage_row(1, 5, 60, 9.0), usage_row(1, 70, 60, 4.0), usage_row(2, 5, 60)],
     )
-    present = {(1, m.CPU): True, (1, m.MEM): True}
-    assert drain() == present  # task 3 has no job; task 2's profile came too late
-    ends.add(("a", 1, 4, at(300)))
-    usage.add(usage_row(4, 300))
-    assert drain().items() >= present.items()
-    ends.add(("a", 1, 5, at(600)))
-    usage.add(usage_row(5, 600))
-    drain()
-    got = drain()
-    assert got.items() >= {**present, (2, m.CPU): False, (2, m.MEM): False}.items()
-    assert got[4, m.CPU] is True and got[4, m.MEM] is False
-    assert not any(task == 3 for task, _ in got)
-
-
-def test_jobs_are_reported_once_complete_or_over_time(spark, tmp_path):
-    ended = Table(spark, tmp_path / "ended", sj.COUNTS)
-    seen = Table(spark, tmp_path / "seen", sj.COUNTS)
-    sink = Sink(spark, tmp_path, "out", sj.JOB_REPORT)
-
-    def drain():
-        counts = sj.stream_counts(spark, ended.path, "1 minute").unionByName(
-            sj.stream_counts(spark, seen.path, "1 minute")
-        )
-        rows = sink.drain(sj.job_reports(counts, SETTINGS)).collect()
-        assert len(rows) == len({r.job_id for r in rows})
-        return {r.job_id: (r.tasks, r.outcomes, r.received, r.complete) for r in rows}
-
-    def count(job, minute, jobs=0, tasks=0, outcomes=0, received=0):
-        return ("a", job, at(minute), jobs, tasks, outcomes, received)
-
-    # Job 1 has ended, an outcome is open; job 2 has no tasks; job 3 runs on.
-    ended.add(count(1, 0, tasks=1), count(1, 5, jobs=1, tasks=1), count(2, 5, jobs=1), count(3, 5, tasks=1))
-    seen.add(count(1, 0, outcomes=3, received=2), count(3, 5, outcomes=2, received=2))
-    assert drain() == {2: (0, 0, 0, True)}
-    seen.add(count(1, 5, outcomes=1, received=1))
-    done = {2: (0, 0, 0, True), 1: (2, 4, 3, True)}
-    assert drain() == done
-    # Job 4 never gets its outcomes: reported by the timer, not before.
-    ended.add(count(4, 6, jobs=1, tasks=5))
-    seen.add(count(4, 6, outcomes=1))
-    assert drain() == done
-    for minute in (100, 101):
-        ended.add(count(5, minute, tasks=1))
-        seen.add(count(5, minute))
-        got = drain()
-    assert got == {**done, 4: (5, 1, 0, False)}
+    of_b = {("b", 7, 1, m.CPU): True, ("b", 7, 1, m.MEM): True, ("b", 7, 2, m.CPU): False, ("b", 7, 2, m.MEM): False}
+    assert s.outcomes() == of_b
+    s.tick(300)
+    # Task 3 of a has no job; task 2 has not ended; the newest value holds though it is smaller.
+    assert s.outcomes() == {**of_b, ("a", 7, 1, m.CPU): True, ("a", 7, 1, m.MEM): True}
+    assert s.usage_now() == {
+        ("b", 1, m.CPU, "f"): 3.0, ("b", 1, m.MEM, "f"): 3.0, ("a", 1, m.CPU, None): 4.0, ("a", 1, m.MEM, None): 4.0
+    }
+    s.tick(600)
+    assert s.jobs() == {("b", 7): (2, 4, 2, True), ("a", 7): (1, 2, 2, True), ("a", 8): (0, 0, 0, True)}
+    # Late: usage given up on, a smaller newer value, an ended task, another owner.
+    s.step(
+        [ends(9, 2, 700, "b"), starts(8, [1], 10**6 + 1, 700, "b")],
+        [usage_row(2, 10**6, 700, 2.0, metrics=(m.CPU,), app="b"), usage_row(1, 80, 700, 1.0)],
+    )
+    s.tick(1000)
+    s.tick(1300)
+    assert s.outcomes()["b", 8, 2, m.CPU] is True and s.outcomes()["b", 8, 2, m.MEM] is False
+    assert ("b", 7, 2, m.CPU) not in s.outcomes() and s.outcomes()["b", 7, 9, m.CPU] is False
+    assert s.usage_now()["a", 1, m.CPU, None] == 1.0 and s.usage_now()["b", 2, m.CPU, None] == 2.0
+    assert s.tracked().filter("late AND kind = 'outcome'").count() > 0
+    assert s.jobs() == {("b", 7): (1, 2, 0, True), ("a", 7): (1, 2, 2, True), ("a", 8): (0, 0, 0, True)}
+
+
+def test_no_state_stays(spark, tmp_path):
+    """Jobs and tasks that never end, and what comes after a report, leave no state."""
+    s = Streams(spark, tmp_path)
+    lines = [starts(j, [j], 0, 0) for j in range(5)] + [ends(100 * t, t % 5, 0) for t in range(20)]
+    s.step([*lines, job_ends(1, 0)], [usage_row(100 * t, 1, 0) for t in range(30)])
+    s.tick(600)
+    s.tick(900)
+    assert s.jobs() == {("a", 1): (4, 8, 8, True)} and s.states["tracked"] > 10 and s.states["jobs"] >= 5
+    # After the report and a week: counts and usage of the reported job, a second end of it.
+    s.step([ends(111_101, 1, 8 * DAY), job_ends(1, 8 * DAY)], [usage_row(500, 2, 8 * DAY, 7.0)])
+    s.tick(16 * DAY)
+    # Usage of tasks that never ended is given out as their state goes.
+    assert len([k for k in s.usage_now() if k[1] >= 2000]) == 20
+    s.tick(30 * DAY)
+    # What is left is of the clock's own last rows.
+    assert s.states["tracked"] <= 1 and s.states["jobs"] <= 1
+
+
+def test_repeated_lines_and_restarts_change_nothing(spark, tmp_path):
+    s = Streams(spark, tmp_path)
+    lines = [starts(1, [1], 0, 0), ends(1, 1, 0), job_ends(1, 0)]
+    s.step(lines * 3, [usage_row(1, 1, 0, 5.0)] * 3)
+    s.tick(600)
+    s.step([line("a", "SparkListenerTaskEnd", 650, **{"Stage ID": 1, "Task Info": {"Task ID": 1}})], [usage_row(1, 1, 650, 5.0)])
+    s.tick(900)
+    assert s.jobs() == {("a", 1): (1, 2, 2, True)} and s.usage_now() == {("a", 1, x, None): 5.0 for x in (m.CPU, m.MEM)}
+    assert s.tracked().filter("kind = 'usage'").count() == 2
 
 
 def test_usage_writer_equals_batch_and_is_repeatable(spark, landing, tmp_path):
@@ -161,19 +205,6 @@ def test_usage_writer_equals_batch_and_is_repeatable(spark, landing, tmp_path):
     assert bad.count() == p.rejected_profiles(chosen).count() > 0
 
 
-def test_repeated_log_lines_count_once(spark, tmp_path):
-    ends = Table(spark, tmp_path / "ends", ENDS)
-    jobs = Table(spark, tmp_path / "jobs", "app_id STRING, job_id BIGINT, end_ts TIMESTAMP")
-    owners = spark.createDataFrame([("a", 1, 7)], "app_id STRING, stage_id BIGINT, job_id BIGINT")
-    sink = Sink(spark, tmp_path, "out", sj.COUNTS)
-    for minute in itertools.chain([10], [300, 600]):
-        row = ("a", 1, minute, at(minute))
-        ends.add(row, row)
-        jobs.add(("a", 7, at(minute)), ("a", 7, at(minute)))
-        rows = sink.drain(sj.end_counts(ends.stream(), jobs.stream(), owners, SETTINGS)).collect()
-    assert [(r.tasks, r.ended_jobs) for r in rows if r.ts == at(10)] == [(1, 1)]
-
-
 def test_settings_bound_the_wait():
     assert Settings().give_up_ms == 11_000
     assert Settings(upload_interval_ms=500, poll_attempts=3).give_up_ms == 3_500
@@ -181,5 +212,5 @@ def test_settings_bound_the_wait():
 
 def test_fixture_steps_cover_all_rows(spark, landing):
     steps = fx.stream_steps(spark, landing)
-    assert sum(profiles.count() for profiles, _ in steps) == landing.profiles.count() + 2
-    assert all(lines.count() > 0 for _, lines in steps)
+    assert sum(profiles.count() for profiles, _, _ in steps) == landing.profiles.count() + 1
+    assert sum(lines.count() for _, lines, _ in steps) == landing.log.count() + 3
