@@ -21,18 +21,17 @@ from stacktally.llm.common import whole
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset(
-    "head title style script noscript template iframe object audio video canvas svg math "
-    "datalist select option textarea".split()
+    "head title style script noscript template iframe object audio video canvas datalist".split()
 )
 RAW_TEXT = frozenset("script style textarea title iframe noscript".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol "
-    "p pre search section summary table caption ul".split()
+    "p pre search section summary table caption ul option optgroup textarea".split()
 )
 # Blocks with an empty line around them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
-ENDS_P = BLOCK - frozenset("html body li dd dt caption legend summary".split())
+ENDS_P = BLOCK - frozenset("html body li dd dt caption legend summary option optgroup textarea".split())
 # An opening tag ends these, up to the nearest of the second set.
 IMPLIED_END = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
@@ -145,6 +144,32 @@ class Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A comment, a doctype or, in a browser as here, a bogus comment up to the next bracket.
+
+        What the page does not end goes on to its end. The standard parser asserts in marked
+        sections, so these are not handed to it.
+        """
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        return self._end_or_rest(self.rawdata.find(">", i + 2) + 1 or -1)
+
+    def _end_or_rest(self, end: int) -> int:
+        return len(self.rawdata) if end < 0 and self.at_end else end
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self._end_or_rest(super().parse_comment(i, report))
+
+    def parse_pi(self, i: int) -> int:
+        return self._end_or_rest(super().parse_pi(i))
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_html_declaration(i)
+
+    def goahead(self, end: bool) -> None:
+        self.at_end = end
+        super().goahead(end)
+
 
 class Layout:
     """Lines of text: words joined by single spaces, blocks apart, at most one empty line."""
@@ -208,19 +233,28 @@ class Layout:
         return "\n".join(self.lines).strip("\n")
 
 
-def _rows(table: Node) -> list[Node]:
-    """The visible rows of a table, not those of tables within."""
-    out = []
-    waiting = list(reversed(table.children))
+def _inside(top: Node, wanted: tuple[str, ...], through: tuple[str, ...]) -> tuple[list[Node], list[Node | str]]:
+    """The visible ``wanted`` elements below ``top``, and what stands beside them.
+
+    Goes through elements of ``through``, and through any other that holds a wanted one in a form, as
+    old pages have it; not into tables within.
+    """
+    found, stray = [], []
+    waiting = list(reversed(top.children))
     while waiting:
         node = waiting.pop()
-        if isinstance(node, str) or node.hidden:
+        if isinstance(node, str):
+            if node.strip():
+                stray.append(node)
+        elif node.hidden or node.tag in ("caption", "colgroup", "col"):
             continue
-        if node.tag == "tr":
-            out.append(node)
-        elif node.tag in ("thead", "tbody", "tfoot"):
+        elif node.tag in wanted:
+            found.append(node)
+        elif node.tag in through or node.tag == "form":
             waiting += reversed(node.children)
-    return out
+        else:
+            stray.append(node)
+    return found, stray
 
 
 def _span(cell: Node) -> int:
@@ -235,8 +269,11 @@ def _table(node: Node, layout: Layout) -> None:
             layout.text(" ".join(render(child, layout.depth + 1).split("\n")))
             layout.block(False)
     grid: list[list[tuple[str, int]]] = []
-    for row in _rows(node):
-        cells = [c for c in row.children if not isinstance(c, str) and c.tag in ("td", "th") and not c.hidden]
+    # Cells without a row, as a form between table and row leaves them, are a row of one cell each.
+    rows, stray = _inside(node, ("tr", "td", "th"), ("thead", "tbody", "tfoot"))
+    for row in rows:
+        cells, beside = ([row], []) if row.tag != "tr" else _inside(row, ("td", "th"), ())
+        stray += beside
         texts = [(" ".join(x for x in render(c, layout.depth + 1).split("\n") if x), _span(c)) for c in cells]
         if any(t for t, _ in texts):
             grid.append(texts)
@@ -255,11 +292,12 @@ def _table(node: Node, layout: Layout) -> None:
             at += span
         layout.verbatim(" | ".join(parts).rstrip())
         layout.line()
-    stray = [c for c in node.children if isinstance(c, str) and c.strip()
-             or not isinstance(c, str) and c.tag not in
-             ("caption", "tr", "thead", "tbody", "tfoot", "colgroup", "col")]
-    for child in stray:  # text that stands in a table outside its cells is visible too
+    # Text that stands in a table outside its cells is visible too. A table that stands there is one
+    # deeper, so that tables directly in tables end like those in cells.
+    layout.depth += 1
+    for child in stray:
         _walk(child, layout)
+    layout.depth -= 1
 
 
 def _walk(top: Node | str, layout: Layout) -> None:
@@ -357,7 +395,7 @@ def _title(html: str) -> str:
 
 _EXTRACTED = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("text", T.StringType()),
-    T.StructField("n_lines", T.LongType()),
+    T.StructField("n_lines", T.LongType()), T.StructField("problem", T.StringType()),
 ])
 
 
@@ -366,16 +404,20 @@ def _extract(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in pages:
         rows = []
         for html in batch:
-            text = extract_text(html)
-            rows.append((_title(html), text, len(text.split("\n")) if text else 0))
-        yield pd.DataFrame(rows, columns=["title", "text", "n_lines"])
+            try:
+                text, problem = extract_text(html), None
+            except Exception as failure:  # one page must not stop the others
+                text, problem = "", f"{type(failure).__name__}: {failure}"
+            rows.append((_title(html), text, len(text.split("\n")) if text else 0, problem))
+        yield pd.DataFrame(rows, columns=["title", "text", "n_lines", "problem"])
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with struct ``extracted``: title, text and n_lines.
+    """``pages`` with struct ``extracted``: title, text, n_lines and problem.
 
-    A narrow pass, one page at a time. A null or empty page gives empty texts; broken markup
-    gives what a reader would still see. Repeated rows are extracted each; a column
+    A narrow pass, one page at a time, in time and memory in proportion to the page. A null or empty
+    page gives empty texts; broken markup gives what a reader would still see. Should a page fail all
+    the same, its text is empty and ``problem`` says why (else null). Repeated rows are extracted each; a column
     ``extracted`` of ``pages`` is replaced.
     """
     return pages.withColumn("extracted", _extract(whole(F.col(html))))

@@ -81,7 +81,7 @@ def op8_quality(spark, sf_dir: str) -> DataFrame:
 def op9_html(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
     pages = html.extract(read(spark, sf_dir, "pages"))
-    return pages.select("page_id", "url", *[F.col(f"extracted.{c}").alias(c) for c in ("title", "text", "n_lines")])
+    return pages.select("page_id", "url", *[F.col(f"extracted.{c}").alias(c) for c in ("title", "text", "n_lines", "problem")])
 
 
 def op10_chat(spark, sf_dir: str) -> DataFrame:
