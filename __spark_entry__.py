@@ -697,15 +697,16 @@ def _streamed_reports(spark: SparkSession, sf_dir: str) -> reports.Store:
     profiles, lines = f"{root}/in/profiles", f"{root}/in/lines"
     first = F.pmod(F.xxhash64("app_id"), F.lit(2)) == 0
     early = first & (F.pmod("id", F.lit(2)) == 0)
-    later = F.lit("2099-01-01").cast("timestamp")
     for step, (of_lines, of_profiles) in enumerate([(first, early), (~first, ~early)]):
         tables.write_profiles(landing.profiles.filter(of_profiles), profiles, mode="append")
         landing.log.filter(of_lines).write.mode("append").parquet(lines)
         stream = tables.stream_profiles(spark, profiles)
-        run.drain(su.usage_writer(stream, landing.registry, store.path("usage")), f"{root}/ck/usage")
+        arrived, hour = F.lit(fx.ARRIVALS[step]).cast("timestamp"), F.make_dt_interval(hours=F.lit(1))
+        writer = su.usage_writer(stream, landing.registry, store.path("usage"), arrived=arrived)
+        run.drain(writer, f"{root}/ck/usage")
         stream = spark.readStream.schema(m.LOG_LINE).parquet(lines)
-        run.drain(reports.event_writer(stream, store), f"{root}/ck/events")
-        reports.report_due(store, landing.registry, step, THRESHOLDS, later)
+        run.drain(reports.event_writer(stream, store, arrived), f"{root}/ck/events")
+        reports.report_due(store, landing.registry, step, THRESHOLDS, arrived + hour)
     return store
 
 

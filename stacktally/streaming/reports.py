@@ -4,6 +4,11 @@ Nothing here has a watermark, so nothing is dropped for being late. Log lines an
 landed as they arrive, each batch in a folder of its own that a repeated batch overwrites. A
 report covers the ended jobs that are complete, or whose wait since the *arrival* of their end
 is over. A job is reported again if anything of it arrived later; the newest report holds.
+
+A step reads what landed since the last one and, of the applications that this touches or whose
+wait is over, what is kept of them: their events and newest values, merged, in a partition per
+application. Rows of other applications are not read. Merging twice changes nothing, so a step that
+failed half-way may run again. What is older than the retention is no longer kept.
 """
 
 from __future__ import annotations
@@ -40,11 +45,26 @@ JOBS = (
     "app_id STRING, job_id BIGINT, expected BIGINT, received BIGINT, totals BIGINT, "
     "digest BIGINT, complete BOOLEAN, step BIGINT"
 )
-_TABLES = {"events": EVENTS, "usage": m.USAGE, "findings": FINDINGS, "missing": MISSING, "jobs": JOBS}
+WAITING = "app_id STRING, app_key STRING, due TIMESTAMP, step BIGINT"
+MERGED = "events BIGINT, usage BIGINT, step BIGINT"
+LANDED_USAGE = m.USAGE + ", arrived TIMESTAMP"
+# Columns and the partitions below a table's folder.
+_TABLES = {
+    "events": (EVENTS, "batch BIGINT"), "usage": (LANDED_USAGE, "batch BIGINT"),
+    "kept_events": (EVENTS, "app_key STRING"), "kept_usage": (LANDED_USAGE, "app_key STRING"),
+    "findings": (FINDINGS, None), "missing": (MISSING, None), "jobs": (JOBS, "app_key STRING"),
+    "waiting": (WAITING, None), "merged": (MERGED, None),
+}
+RETENTION = "INTERVAL 30 DAYS"
+
+
+def app_key(app_id: Column) -> Column:
+    """Names an application in paths; two that share a key share a folder, which does no harm."""
+    return F.hex(F.xxhash64(app_id))
 
 
 class Store(NamedTuple):
-    """Landed tables and reports below one folder of the shared storage."""
+    """Landed tables, what is kept of each application, and reports, below one shared folder."""
 
     spark: SparkSession
     root: str
@@ -54,25 +74,43 @@ class Store(NamedTuple):
 
     def create(self) -> Store:
         """Empty tables, so that every table can be read from the start."""
-        for table, schema in _TABLES.items():
-            empty = self.spark.createDataFrame([], schema)
-            empty.write.mode("overwrite").parquet(f"{self.path(table)}/created")
+        for table, (schema, parts) in _TABLES.items():
+            fields = [f for f in schema.split(", ") if f != "step BIGINT"]
+            folders = [f"{c}=-1" for c in (["step"] if len(fields) < len(schema.split(", ")) else [])]
+            folders += [f"{parts.split()[0]}=-1"] if parts else []
+            empty = self.spark.createDataFrame([], ", ".join(fields))
+            empty.write.mode("overwrite").parquet("/".join([self.path(table), *folders]))
         return self
 
     def read(self, table: str) -> DataFrame:
-        reader = self.spark.read.schema(_TABLES[table]).option("recursiveFileLookup", "true")
-        return reader.parquet(self.path(table))
+        schema, parts = _TABLES[table]
+        return self.spark.read.schema(f"{schema}, {parts}" if parts else schema).parquet(self.path(table))
 
     def write(self, rows: DataFrame, table: str, step: int) -> None:
-        rows = rows.withColumn("step", F.lit(step).cast("bigint"))
-        rows.write.mode("overwrite").parquet(f"{self.path(table)}/step={step}")
+        writer = rows.drop("step").write.mode("overwrite")
+        if _TABLES[table][1]:
+            writer = writer.partitionBy(_TABLES[table][1].split()[0])
+        writer.parquet(f"{self.path(table)}/step={step}")
+
+    def keep(self, rows: DataFrame, table: str) -> None:
+        """Replaces the folders of the applications in ``rows``; the others stay as they are."""
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("app_key").parquet(self.path(table))
 
+    def of(self, table: str, keys: list[str]) -> DataFrame:
+        """Rows of some applications; only their folders are read."""
+        return self.read(table).filter(F.col("app_key").isin(keys))
 
-def event_writer(lines: DataFrame, store: Store) -> DataStreamWriter:
-    """Parses each micro-batch of log lines once; all six kinds of events are kept."""
+
+def event_writer(lines: DataFrame, store: Store, arrived: Column | None = None) -> DataStreamWriter:
+    """Parses each micro-batch of log lines once; all six kinds of events are kept.
+
+    Events ``arrived`` when they are written, unless told otherwise.
+    """
+    arrived = F.current_timestamp() if arrived is None else arrived
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = e.parse_events(batch, *e.EVENTS).withColumn("arrived", F.current_timestamp())
+        rows = e.parse_events(batch, *e.EVENTS).withColumn("arrived", arrived)
         rows.write.mode("overwrite").parquet(f"{store.path('events')}/batch={batch_id}")
 
     return lines.writeStream.foreachBatch(handle)
@@ -84,11 +122,56 @@ def last_delivery(usage: DataFrame) -> DataFrame:
     One mergeable aggregation: a repeated delivery changes nothing, a smaller later one counts.
     """
     newest = F.max(F.struct("ts", "value")).alias("newest")
-    return usage.groupBy("app_id", "unit", "id", "metric", "udf", "is_total").agg(newest).select(
-        "app_id", "unit", "id", "metric", "udf", "is_total", "newest.value", "newest.ts"
+    arrived = [F.max("arrived").alias("arrived")] if "arrived" in usage.columns else []
+    merged = usage.groupBy("app_id", "unit", "id", "metric", "udf", "is_total").agg(newest, *arrived)
+    return merged.select(
+        "app_id", "unit", "id", "metric", "udf", "is_total", "newest.value", "newest.ts",
+        *(["arrived"] if arrived else []),
     )
 
 
+def merged_events(events: DataFrame) -> DataFrame:
+    """Each line of a log once, with its last arrival."""
+    same = [c for c in events.columns if c != "arrived"]
+    return events.groupBy(*same).agg(F.max("arrived").alias("arrived"))
+
+
+class Change(NamedTuple):
+    """What a step has to look at: applications, and all that is kept of them with what is new."""
+
+    keys: list[str]
+    events: DataFrame
+    usage: DataFrame
+    waiting: DataFrame
+    last: dict[str, int]
+
+
+def change_of(store: Store, step: int, now: Column, retention: str = RETENTION) -> Change:
+    """The applications touched since the steps before ``step``, or whose wait is over by ``now``.
+
+    Their keys go through the driver: an application has a log file at least, so they are no more
+    than the files of the batches, which Spark lists there itself, and the jobs that wait.
+    """
+    done_steps = store.read("merged").filter(F.col("step") < step)
+    *before, last_step = done_steps.agg(F.max("events"), F.max("usage"), F.max("step")).first()
+    new, last = {}, {}
+    for table, done in zip(("events", "usage"), before):
+        rows = store.read(table).filter(F.col("batch") > (-1 if done is None else done))
+        rows = rows.withColumns({"app_key": app_key(F.col("app_id")), "arrived": F.coalesce("arrived", now)})
+        new[table] = w.publish(rows, f"new_{table}")
+        top = new[table].agg(F.max("batch")).first()[0]
+        last[table] = top if top is not None else (-1 if done is None else done)
+    waiting = store.read("waiting").filter(F.col("step") == F.lit(-1 if last_step is None else last_step))
+    touched = waiting.filter(F.col("due") <= now).select("app_key").unionByName(new["events"].select("app_key")).unionByName(new["usage"].select("app_key"))
+    keys = [row[0] for row in touched.distinct().collect()]
+    held = F.col("arrived") >= now - F.expr(retention)
+    both = lambda table: store.of(f"kept_{table}", keys).unionByName(new[table].drop("batch")).filter(held)
+    events = merged_events(both("events"))
+    usage = last_delivery(both("usage")).withColumn("app_key", app_key(F.col("app_id")))
+    events, usage = w.publish(events, "events", ["event"]), w.publish(usage, "last_usage", ["unit"])
+    return Change(keys, events, usage, waiting.filter(~F.col("app_key").isin(keys)).drop("step"), last)
+
+
 def _progress(ended: DataFrame, expected: DataFrame, usage: DataFrame) -> DataFrame:
     """What each ended job waits for, and what of it is there: ``JOBS`` without ``step``.
 
@@ -128,18 +211,19 @@ def _changed(state: DataFrame, reported: DataFrame) -> DataFrame:
 
 def report_due(
     store: Store, registrations: DataFrame, step: int, settings: Settings = Settings(),
-    now: Column | None = None,
+    now: Column | None = None, retention: str = RETENTION,
 ) -> None:
     """Reports the jobs that are due by ``now`` (default: the present), as step ``step``.
 
     Steps are numbered upwards by the caller, for example by the batch of the stream that the
-    call follows. A step that is run again overwrites its own folders; the table of jobs is
-    written last, and only findings of jobs in it count.
+    call follows. A step that is run again overwrites its own folders and finds the same news, as
+    only steps before it count; only findings of jobs in the table of jobs count, which is written
+    after them.
     """
     now = F.current_timestamp() if now is None else now
-    events = store.read("events")
-    reported = store.read("jobs").filter(F.col("step") < step)
-    usage = w.publish(last_delivery(store.read("usage")), "last_usage", partition_by=["unit"])
+    change = change_of(store, step, now, retention)
+    events, usage = change.events, change.usage
+    reported = store.of("jobs", change.keys).filter(F.col("step") < step)
     jobs = e.job_events(events).filter(F.col("end_ts").isNotNull())
     tasks = e.task_events(events)
     expected = w.publish(
@@ -149,8 +233,9 @@ def report_due(
         F.max("arrived").alias("arrived")
     )
     wait = F.make_dt_interval(secs=F.lit(settings.give_up_ms / 1000))
-    state = _changed(_progress(ended, expected, usage), reported)
-    due = w.publish(state.filter(F.col("complete") | (F.col("arrived") + wait <= now)), "due")
+    state = w.publish(_changed(_progress(ended, expected, usage), reported), "changed")
+    is_due = F.col("complete") | (F.col("arrived") + wait <= now)
+    due = w.publish(state.filter(is_due), "due")
     keys = w.measure(due.select("app_id", "job_id"))
     chosen = w.publish(
         w.join_lookup(expected, keys, ["app_id", "job_id"], spread_by=["task_id"]), "due_tasks"
@@ -161,10 +246,18 @@ def report_due(
     )
     store.write(found, "findings", step)
     store.write(report.missing_profiles(chosen, usage), "missing", step)
-    store.write(due.drop("arrived"), "jobs", step)
+    # Jobs that wait on: those seen now, and those of applications that were not looked at.
+    waits = state.filter(~is_due).groupBy("app_id").agg(F.min(F.col("arrived") + wait).alias("due"))
+    waits = waits.withColumn("app_key", app_key(F.col("app_id")))
+    store.write(waits.unionByName(change.waiting), "waiting", step)
+    store.write(due.drop("arrived").withColumn("app_key", app_key(F.col("app_id"))), "jobs", step)
+    store.keep(events, "kept_events")
+    store.keep(usage, "kept_usage")
+    last = [(change.last["events"], change.last["usage"])]
+    store.write(store.spark.createDataFrame(last, "events BIGINT, usage BIGINT"), "merged", step)
 
 
 def newest(store: Store, table: str) -> DataFrame:
     """Rows of each job's newest report: ``table`` is findings, missing or jobs."""
     last = store.read("jobs").groupBy("app_id", "job_id").agg(F.max("step").alias("step"))
-    return store.read(table).join(last, ["app_id", "job_id", "step"]).drop("step")
+    return store.read(table).join(last, ["app_id", "job_id", "step"]).drop("step", "app_key")

@@ -104,3 +104,37 @@ def test_repeated_deliveries_count_once(spark):
     rows = cost("a", m.TASK, 1, 1, 3.0) + cost("a", m.TASK, 1, 1, 3.0) + cost("a", m.TASK, 1, 0, 9.0)
     got = reports.last_delivery(spark.createDataFrame(rows, m.USAGE)).collect()
     assert sorted((r.metric, r.value) for r in got) == [(m.CPU, 3.0), (m.MEM, 3.0)]
+
+
+def test_a_step_reads_only_what_is_new_and_touched(spark, tmp_path):
+    run = Run(spark, tmp_path / "store")
+    for n, app in enumerate("abcd"):
+        usage = cost(app, m.JOB, 1, 2, 10.0) + cost(app, m.TASK, 1, 1, 8.0) + cost(app, m.TASK, 1, 1, 8.0, "f")
+        run.step(n + 1, log_of(app, 0, [1, 2]), usage)
+    key = {app: spark.range(1).select(reports.app_key(F.lit(app))).first()[0] for app in "abcd"}
+    late = spark.createDataFrame(cost("b", m.TASK, 2, 1, 1.0), m.USAGE)
+    late.write.parquet(f"{run.store.path('usage')}/batch=77")
+    soon, over = (F.lit(ARRIVED + dt.timedelta(seconds=s)) for s in (1, 12))
+    change = reports.change_of(run.store, 5, soon)
+    assert change.keys == [key["b"]] and {r.app_id for r in change.usage.collect()} == {"b"}
+    for table in ("kept_events", "kept_usage"):
+        rows = run.store.of(table, change.keys)
+        files = {r[0] for r in rows.select("_metadata.file_path").collect()}
+        assert files and all(f"app_key={key['b']}" in f for f in files)
+        assert "app_key" in rows._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    # All four wait for their second task; when their wait is over all are looked at, without any news.
+    assert set(reports.change_of(run.store, 5, over).keys) == set(key.values())
+    reports.report_due(run.store, run.registry, 5, Settings(), soon)
+    assert {r.app_id for r in reports.newest(run.store, "jobs").collect()} == {"b"}
+    reports.report_due(run.store, run.registry, 6, Settings(), over)
+    assert {r.app_id: r.complete for r in reports.newest(run.store, "jobs").collect()} == {
+        "a": False, "b": True, "c": False, "d": False
+    }
+    # Nothing waits and nothing is new: nothing is read. Old rows of a touched application go.
+    assert reports.change_of(run.store, 7, over).keys == []
+    cost_now = spark.createDataFrame(cost("b", m.TASK, 3, 1, 1.0), m.USAGE)
+    cost_now.write.parquet(f"{run.store.path('usage')}/batch=78")
+    month = F.lit(ARRIVED + dt.timedelta(days=31))
+    reports.report_due(run.store, run.registry, 7, Settings(), month)
+    assert {(r.app_id, r.id) for r in run.store.read("kept_usage").collect() if r.app_id == "b"} == {("b", 3)}
+    assert run.store.of("kept_usage", [key["a"]]).count() > 0
