@@ -723,6 +723,35 @@ def stream_missing_report(spark, sf_dir):
     return reports.newest(_streamed_reports(spark, sf_dir), "missing")
 
 
+@query("""
+SELECT app_id, stage_id, attempt, task_id, start_ms, CASE WHEN ended THEN end_ms END AS end_ms,
+       CASE WHEN ended THEN 'Success' END AS reason
+FROM task
+""")
+def stream_log_lines(spark, sf_dir):
+    """Text logs that grow: a first file whose last lines are half written, a rolled second one, and
+    one application's compacted file that repeats both."""
+    lines = fx.land(spark, sf_dir).log.withColumn("app", F.col("app_id"))
+    root = w.new_path(spark, "logs")
+    store = reports.Store(spark, f"{root}/store").create()
+    key = F.pmod(F.xxhash64("app_id", "value"), F.lit(100))
+    half = F.when(key == 0, F.substring("value", F.lit(1), (F.length("value") / 2).cast("int"))).otherwise(F.col("value"))
+    some_app = F.pmod(F.xxhash64("app_id"), F.lit(3)) == 0
+    written = [
+        lines.filter(key < 60).withColumn("value", half),
+        lines.filter((key >= 50) | (key == 0)),
+        lines.filter(some_app),
+    ]
+    path = F.col("_metadata.file_path")
+    for batch, part in enumerate(written):
+        part.select("app", "value").write.mode("append").partitionBy("app").text(f"{root}/in")
+        reports.land_log(store, f"{root}/in", batch, F.regexp_extract(path, "/app=([^/]+)/", 1))
+    return e.task_events(reports.merged_events(store.read("events").drop("batch"))).select(
+        "app_id", "stage_id", "attempt", "task_id", _ms("start_ts").alias("start_ms"),
+        _ms("end_ts").alias("end_ms"), "reason",
+    )
+
+
 # --- reports ----------------------------------------------------------------------
 
 @query("SELECT app_id, job_id, stage_id, task_id, metric, udf, is_total, value, job_total, pct FROM share")
@@ -751,9 +780,15 @@ def finding_impl(spark, sf_dir):
 
 @query("SELECT app_id, task_id, job_id, metric, message FROM finding")
 def finding_message(spark, sf_dir):
-    return findings_all(spark, sf_dir).select("app_id", "task_id", "job_id", "metric", "message")
+    path = w.new_path(spark, "findings")
+    found = findings_all(spark, sf_dir)
+    for _ in range(2):  # a run that is repeated leaves each row once
+        tables.write_findings(found, path, "nightly")
+    return tables.read_report(spark, path).select("app_id", "task_id", "job_id", "metric", "message")
 
 
 @query("SELECT app_id, job_id, stage_id, task_id, metric, message FROM missing")
 def missing_profiles(spark, sf_dir):
-    return _report(spark, sf_dir).missing
+    path = w.new_path(spark, "missing")
+    tables.write_missing(_report(spark, sf_dir).missing, path, "nightly")
+    return tables.read_report(spark, path).drop("run")

@@ -76,16 +76,19 @@ def stream_events(spark: SparkSession, path: str, max_files: int | None = None)
 MILLIS_RANGE = (-62_135_596_800_000, 253_402_300_799_999)
 
 
-def parse_events(log: DataFrame, *events: str) -> DataFrame:
+def parse_events(log: DataFrame, *events: str, whole: bool = False) -> DataFrame:
     """One typed row per line of the chosen events; only their fields are parsed.
 
     A table of such rows is only filtered, so all readers below accept either. Lines that say when
-    they ``arrived`` keep that.
+    they ``arrived`` keep that. ``whole`` leaves out lines that are no JSON to their end, of which
+    the parser would give the fields so far.
     """
     if "value" not in log.columns:
         return log.filter(F.col("event").isin(*events))
     arrived = ["arrived"] if "arrived" in log.columns else []
     mentioned = reduce(Column.__or__, [F.contains("value", F.lit(e)) for e in events])
+    if whole:
+        mentioned &= F.get_json_object("value", "$").isNotNull()
     # A time beyond the years 1 to 9999 is no time; one bad number must not stop the run.
     millis = lambda field: F.when(
         F.col(field).between(*MILLIS_RANGE), F.timestamp_millis(F.col(field))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stacktally import model as m
 
@@ -35,10 +38,29 @@ def read_registry(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return spark.read.schema(m.REGISTRY).format(fmt).load(path)
 
 
-def write_findings(findings: DataFrame, path: str, mode: str = "append") -> None:
-    findings.write.mode(mode).partitionBy("metric").parquet(path)
+def _write_run(rows: DataFrame, path: str, run: str) -> None:
+    """Rows of one run, in a folder of their own, then the run's line of the manifest.
+
+    A run that is repeated, whatever it had left behind, replaces its line and so its rows; readers
+    see the rows of the last attempt that came to its end.
+    """
+    attempt = f"a{uuid.uuid4().hex}"  # a letter first, so that it is read back as text
+    rows.write.partitionBy("metric").parquet(f"{path}/rows/run={run}/attempt={attempt}")
+    line = rows.sparkSession.createDataFrame([(attempt,)], "attempt STRING").coalesce(1)
+    line.write.mode("overwrite").parquet(f"{path}/manifest/run={run}")
+
+
+def write_findings(findings: DataFrame, path: str, run: str) -> None:
+    _write_run(findings, path, run)
+
 
+def write_missing(missing: DataFrame, path: str, run: str) -> None:
+    _write_run(missing, path, run)
 
-def write_missing(missing: DataFrame, path: str, mode: str = "append") -> None:
-    missing.write.mode(mode).partitionBy("metric").parquet(path)
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all runs written to ``path`` by ``write_findings`` or ``write_missing``, and ``run``."""
+    text = {c: F.col(c).cast("string") for c in ("run", "attempt")}
+    manifest = spark.read.parquet(f"{path}/manifest").withColumns(text)
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows").withColumns(text)
+    return rows.join(manifest, ["run", "attempt"]).drop("attempt")

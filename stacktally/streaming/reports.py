@@ -47,13 +47,14 @@ JOBS = (
 )
 WAITING = "app_id STRING, app_key STRING, due TIMESTAMP, step BIGINT"
 MERGED = "events BIGINT, usage BIGINT, step BIGINT"
+LOG_FILES = "path STRING, n_bytes BIGINT, step BIGINT"
 LANDED_USAGE = m.USAGE + ", arrived TIMESTAMP"
 # Columns and the partitions below a table's folder.
 _TABLES = {
     "events": (EVENTS, "batch BIGINT"), "usage": (LANDED_USAGE, "batch BIGINT"),
     "kept_events": (EVENTS, "app_key STRING"), "kept_usage": (LANDED_USAGE, "app_key STRING"),
     "findings": (FINDINGS, None), "missing": (MISSING, None), "jobs": (JOBS, "app_key STRING"),
-    "waiting": (WAITING, None), "merged": (MERGED, None),
+    "waiting": (WAITING, None), "merged": (MERGED, None), "log_files": (LOG_FILES, None),
 }
 RETENTION = "INTERVAL 30 DAYS"
 
@@ -116,6 +117,34 @@ def event_writer(lines: DataFrame, store: Store, arrived: Column | None = None)
     return lines.writeStream.foreachBatch(handle)
 
 
+def land_log(store: Store, path: str, batch: int, app_id: Column | None = None, arrived: Column | None = None) -> int:
+    """Lands the text logs below ``path`` that are new or have grown, as batch ``batch``; returns how many.
+
+    A log may be written on, rolled into further files, or rewritten into a compacted one while this
+    goes on. A file is read again whenever its size is another than at the batches before, which Spark
+    bounds by rolling; lines that were landed before are merged by the reader (``merged_events``), as
+    an application writes no line twice. A last line that is only half written is no JSON and is not
+    landed; it will be when the file has grown. ``app_id`` is an expression on the file's path, by
+    default that of Spark's names.
+    """
+    spark = store.spark
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        "path", F.col("length").alias("n_bytes")
+    ).filter("n_bytes > 0")
+    known = store.read("log_files").filter(F.col("step") < batch).select("path", "n_bytes")
+    changed = w.publish(files.join(known, ["path", "n_bytes"], "left_anti"), "log_files")
+    # Spark lists a folder's files on the driver, and these are some of them.
+    paths = [row[0] for row in changed.select("path").collect()]
+    if paths:
+        lines = spark.read.text(paths)
+        app_id = e.app_id_of(F.col("_metadata.file_path")) if app_id is None else app_id
+        events = e.parse_events(lines.select(app_id.alias("app_id"), "value"), *e.EVENTS, whole=True)
+        arrived = F.current_timestamp() if arrived is None else arrived
+        events.withColumn("arrived", arrived).write.mode("overwrite").parquet(f"{store.path('events')}/batch={batch}")
+    store.write(changed, "log_files", batch)
+    return len(paths)
+
+
 def last_delivery(usage: DataFrame) -> DataFrame:
     """The newest value of each function over all landed batches; of equal times the largest.
 

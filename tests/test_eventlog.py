@@ -103,3 +103,30 @@ def test_an_absurd_time_is_no_time(spark):
     log = spark.createDataFrame([("a", line % 1000)], "app_id string, value string")
     row, = e.parse_events(log, e.TASK_END).collect()
     assert row["task_id"] == 7 and row["end_ts"] is None and row["start_ts"] is not None
+
+
+def test_logs_that_grow_are_landed_without_loss(spark, tmp_path):
+    """A file that is written on, its last line half there, then rolled and compacted."""
+    from stacktally.streaming import reports
+
+    store = reports.Store(spark, str(tmp_path / "store")).create()
+    folder = tmp_path / "log" / "eventlog_v2_app-1"
+    folder.mkdir(parents=True)
+    end = '{"Event":"SparkListenerTaskEnd","Stage ID":1,"Stage Attempt ID":0,"Task Info":{"Task ID":%d,"Finish Time":%d}}\n'
+    lines = [end % (t, 1000 + t) for t in range(6)]
+
+    def land(batch, name, text):
+        (folder / name).write_text(text)
+        n = reports.land_log(store, str(tmp_path / "log"), batch)
+        events = reports.merged_events(store.read("events").drop("batch"))
+        return n, sorted((r.app_id, r.task_id) for r in e.task_ends(events).collect())
+
+    tasks = lambda n: [("app-1", t) for t in range(n)]
+    assert land(0, "events_1_app-1", lines[0] + lines[1][:40]) == (1, tasks(1))
+    assert land(1, "appstatus_app-1.inprogress", "") == (0, tasks(1))
+    assert land(2, "events_1_app-1", "".join(lines[:3])) == (1, tasks(3))
+    assert land(3, "events_2_app-1", lines[3] + lines[4]) == (1, tasks(5))
+    assert land(3, "events_2_app-1", lines[3] + lines[4]) == (1, tasks(5))  # the batch again
+    assert land(4, "events_2_app-1.compact", "".join(lines[1:5])) == (1, tasks(5))
+    assert land(5, "events_3_app-1", lines[5]) == (1, tasks(6))
+    assert land(6, "events_3_app-1", lines[5]) == (0, tasks(6))

@@ -197,9 +197,19 @@ def test_sinks(spark, tables, tmp_path):
     from stacktally.sources import tables as t
 
     missing = report.missing_profiles(tables[4], tables[3])
-    t.write_missing(missing, str(tmp_path / "missing"))
-    assert spark.read.parquet(str(tmp_path / "missing")).count() == missing.count()
+    path = str(tmp_path / "missing")
+    t.write_missing(missing, path, "monday")
+    assert t.read_report(spark, path).count() == missing.count()
+    # A run that dies after some of its files leaves rows that no manifest names; then it runs again.
+    missing.limit(1).write.partitionBy("metric").parquet(f"{path}/rows/run=monday/attempt=dead")
+    t.write_missing(missing, path, "monday")
+    t.write_missing(missing, path, "tuesday")
+    rows = t.read_report(spark, path)
+    assert rows.count() == 2 * missing.count() and len(list((tmp_path / "missing/rows/run=monday").iterdir())) == 3
+    assert sorted(rows.filter("run = 'monday'").drop("run").collect(), key=repr) == sorted(
+        missing.select(rows.drop("run").columns).collect(), key=repr
+    )
     resolved = spark.createDataFrame([("a", "f", "acme.F")], "app_id STRING, udf STRING, impl STRING")
     found = report.findings(tables[4], tables[3], resolved, 25.0, 25.0)
-    t.write_findings(found, str(tmp_path / "findings"))
-    assert spark.read.parquet(str(tmp_path / "findings")).count() == 5
+    t.write_findings(found, str(tmp_path / "findings"), "1")
+    assert t.read_report(spark, str(tmp_path / "findings")).count() == 5
