@@ -37,15 +37,15 @@ def _array(numbers: list) -> Column:
 def propagate(rows: DataFrame, quotas: list[int], rounds: int = ROUNDS) -> DataFrame:
     """Shards of the linked rows: one row (key, part, start, shard, n).
 
-    A group of copies larger than half a shard is treated as several, ``part`` telling which,
-    as no shard could hold it. The state has a row per group and shard it started in, not per
+    A group of copies larger than a shard is treated as several, ``part`` telling which, as no
+    shard could hold it. The state has a row per group and shard it started in, not per
     document. A shard with less room than is asked of it admits groups by chance, at the rate
     that fills it.
     """
     shards = len(quotas)
     groups = rows.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
     groups = groups.select(
-        "key", F.ceil(F.col("copies") / F.lit(max(1, min(quotas) // 2))).cast("int").alias("parts")
+        "key", F.ceil(F.col("copies") / F.lit(max(1, min(quotas)))).cast("int").alias("parts")
     )
     groups = w.publish(groups, "shard_groups")
     state = rows.join(groups, "key").groupBy(

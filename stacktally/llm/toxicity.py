@@ -24,9 +24,8 @@ from xxhash import xxh3_64_intdigest
 from stacktally import workspace as w
 from stacktally.llm.common import whole
 
-# Labelled documents of each class that the model is fitted on, and characters of each of them.
+# Labelled documents of each class that the model is fitted on, with their whole texts.
 SAMPLE_PER_CLASS = 800
-SAMPLE_CHARS = 40_000
 HASHED_FEATURES = 1 << 18
 EPOCHS = 5
 # A word or beginning marks tokens toxic from this log odds on.
@@ -344,13 +343,11 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS
-) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Fits a model on a bounded sample of the labelled rows that are not held out.
 
-    At most ``per_class`` documents of each label, chosen by a hash of their id, and ``chars``
-    characters of each. A document labelled twice counts as toxic if any label says so; null
+    At most ``per_class`` documents of each label, chosen by a hash of their id; their texts are read
+    whole, on the driver, where the model is fitted. A document labelled twice counts as toxic if any label says so; null
     ids and labels are left out. Without labels every score is 0.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out())
@@ -361,8 +358,7 @@ def train(
         part = known.filter(F.col("toxic") == label).orderBy(order, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = w.publish(chosen, "toxic_sample")  # at most 2 * per_class rows
-    text = F.substring(whole(F.col("text")), 1, chars).alias("text")
-    rows = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+    rows = docs.select("doc_id", whole(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         F.min("text").alias("text"), F.max("toxic").alias("toxic")
     ).orderBy("doc_id").collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])

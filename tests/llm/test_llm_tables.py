@@ -217,6 +217,25 @@ def test_held_out_accuracy(spark):
     assert sum(r["p"] for r in toxic) / len(toxic) > 0.9
 
 
+def test_toxic_words_late_in_a_training_text_are_learnt(spark):
+    clean = " ".join(f"word{i % 50}" for i in range(9_000))  # over 40,000 characters
+    rows = [(i, f"{clean} {'vileword' if i % 2 else 'kindword'} end{i % 7}") for i in range(1, 41)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    probe = spark.createDataFrame([(1, "word1 vileword word2"), (2, "word1 kindword word2")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.score(probe, model).collect()}
+    assert got[1] > 0.5 > got[2]
+
+
+def test_only_groups_over_a_quota_are_cut(spark):
+    rows = [(i, "same" if i < 80 else f"t{i}") for i in range(300)]
+    rows = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sharding.shard(rows, 3).filter("doc_id < 80").select("shard").distinct().count() == 1
+    rows = rows.withColumn("text", F.when(F.col("doc_id") < 250, "same").otherwise(F.col("text")))
+    assert sharding.shard(rows, 3).filter("doc_id < 250").select("shard").distinct().count() == 3
+
+
 @pytest.mark.parametrize("shards", [3, 40])
 def test_sharding(docs, nothing, shards):
     rows = sharding.shard(docs, shards).collect()
