@@ -217,15 +217,14 @@ def test_held_out_accuracy(spark):
     assert sum(r["p"] for r in toxic) / len(toxic) > 0.9
 
 
-def test_toxic_words_late_in_a_training_text_are_learnt(spark):
+def test_training_reads_whole_texts(spark, monkeypatch):
     clean = " ".join(f"word{i % 50}" for i in range(9_000))  # over 40,000 characters
-    rows = [(i, f"{clean} {'vileword' if i % 2 else 'kindword'} end{i % 7}") for i in range(1, 41)]
+    rows = [(i, f"{clean} {'vile' if i % 2 else 'kind'}") for i in range(1, 21)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, toxic int")
-    model = toxicity.train(docs, labels)
-    probe = spark.createDataFrame([(1, "word1 vileword word2"), (2, "word1 kindword word2")], "doc_id bigint, text string")
-    got = {r["doc_id"]: r["toxicity"]["score"] for r in toxicity.score(probe, model).collect()}
-    assert got[1] > 0.5 > got[2]
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: (texts, toxic))
+    texts, toxic = toxicity.train(docs, labels)
+    assert texts and all(t.endswith("vile" if x else "kind") for t, x in zip(texts, toxic))
 
 
 def test_only_groups_over_a_quota_are_cut(spark):
