@@ -422,7 +422,7 @@ SELECT app_id, metric, unit, id, ts_ms, udf, is_total, raw FROM maxima
 """)
 def inclusive_max(spark, sf_dir):
     land = fx.land(spark, sf_dir)
-    frames = hotspots.attributed_frames(land.profiles, r.resolve_registry(land.registry))
+    frames = hotspots.attributed_frames(p.parse_once(land.profiles), r.resolve_registry(land.registry))
     return u.inclusive_max(frames).select(
         "app_id", "metric", "unit", "id", _ms("ts").alias("ts_ms"), "udf", "is_total", "raw"
     )
@@ -431,7 +431,7 @@ def inclusive_max(spark, sf_dir):
 @query("SELECT app_id, metric, unit, id, udf, is_total, raw, ts_ms FROM latest")
 def latest_usage(spark, sf_dir):
     land = fx.land(spark, sf_dir)
-    frames = hotspots.attributed_frames(land.profiles, r.resolve_registry(land.registry))
+    frames = hotspots.attributed_frames(p.parse_once(land.profiles), r.resolve_registry(land.registry))
     return u.latest_usage(u.inclusive_max(frames)).select(
         "app_id", "metric", "unit", "id", "udf", "is_total", "raw", _ms("ts").alias("ts_ms")
     )

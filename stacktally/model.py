@@ -34,6 +34,11 @@ USAGE = (
     "is_total BOOLEAN, value DOUBLE, ts TIMESTAMP"
 )
 
+# Why a profile cannot be used.
+REJECT_REASONS = (
+    "bad_json", "no_flamebearer", "no_names", "no_levels", "wrong_type", "empty",
+    "no_first_total", "zero_total", "ragged_level",
+)
 # One profile snapshot.
 PROFILE_KEY = ["app_id", "profile_type", "unit", "id", "ts"]
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stacktally import model as m
@@ -68,13 +70,15 @@ def valid_profiles(profiles: DataFrame) -> DataFrame:
     return parsed.filter(c.is_usable(F.col("unit"), F.col("names"), F.col("levels")))
 
 
+def _with_reason(profiles: DataFrame) -> DataFrame:
+    return parse(profiles).withColumn(
+        "reason", c.reject_reason(F.col("body"), F.col("unit"), F.col("names"), F.col("levels"))
+    )
+
+
 def rejected_profiles(profiles: DataFrame) -> DataFrame:
     return (
-        parse(profiles)
-        .withColumn(
-            "reason",
-            c.reject_reason(F.col("body"), F.col("unit"), F.col("names"), F.col("levels")),
-        )
+        _with_reason(profiles)
         .filter(F.col("reason").isNotNull())
         .select(*m.PROFILE_KEY, "reason")
     )
@@ -84,6 +88,40 @@ def validate_profiles(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid_profiles(profiles), rejected_profiles(profiles)
 
 
+class Parsed(NamedTuple):
+    """Profiles parsed once: a written table, and how many were rejected for each reason.
+
+    ``rows`` has the profile key, ``reason`` (null for a usable profile) and, of usable profiles
+    only, ``names`` and ``levels``; it is partitioned by ``unit``.
+    """
+
+    rows: DataFrame
+    rejects: dict[str, int]
+
+    @property
+    def valid(self) -> DataFrame:
+        return self.rows.filter(F.col("reason").isNull()).drop("reason")
+
+    @property
+    def rejected(self) -> DataFrame:
+        return self.rows.filter(F.col("reason").isNotNull()).select(*m.PROFILE_KEY, "reason")
+
+
+def parse_once(profiles: DataFrame) -> Parsed:
+    """Reads and parses every body in one pass; all later steps read columns of the result.
+
+    The rejects are counted while the table is written.
+    """
+    usable = F.col("reason").isNull()
+    rows = _with_reason(profiles).select(
+        *m.PROFILE_KEY, "reason", *[F.when(usable, F.col(f)).alias(f) for f in ("names", "levels")]
+    )
+    seen = Observation()
+    counts = [F.count_if(F.col("reason") == reason).alias(reason) for reason in m.REJECT_REASONS]
+    written = w.publish(rows.observe(seen, *counts), "parsed", partition_by=["unit"])
+    return Parsed(written, {reason: n for reason, n in seen.get.items() if n})
+
+
 def decode_frames(valid: DataFrame) -> DataFrame:
     """One row per 4-tuple of the level matrix, with the name looked up.
 
@@ -114,15 +152,41 @@ def decode_frames(valid: DataFrame) -> DataFrame:
     )
 
 
-def frame_names(profiles: DataFrame) -> DataFrame:
-    """The distinct names of each application's dictionaries.
+def largest_frames(valid: DataFrame) -> DataFrame:
+    """The profile key, ``frame, total``: the largest inclusive value of each name in a profile.
 
-    Reads the dictionaries only, not the levels; repeated names are merged
-    before the shuffle.
+    What ``decode_frames`` and a maximum per name give, but reduced inside the row: a profile is
+    spread into as many rows as its dictionary has names in use, not frames, and the dictionary is
+    not repeated for each of them. A name that the dictionary holds twice may come twice.
+    Frames whose index lies outside the dictionary are left out.
     """
+    key = m.PROFILE_KEY
+    # An array without its null levels, as one of those would make the whole of it null.
+    flat = valid.select(*key, "names", F.flatten(F.filter("levels", lambda lv: lv.isNotNull())).alias("flat"))
+    at = lambda i, field: F.coalesce(F.get("flat", i * m.FRAME_STRIDE + field), F.lit(0))
+    n_frames = F.floor(F.size("flat") / m.FRAME_STRIDE).cast("int")
+    frames = F.transform(
+        F.when(n_frames > 0, F.sequence(F.lit(0), n_frames - 1)),
+        lambda i: F.struct(at(i, 3).alias("name"), at(i, 1).alias("total")),
+    )
+    known = F.filter(frames, lambda f: f["name"].between(F.lit(0), F.size("names") - 1))
+    ordered = flat.select(*key, "names", F.sort_array(known).alias("ordered"))
+    largest = F.filter("ordered", lambda f, i: ~F.get("ordered", i + 1)["name"].eqNullSafe(f["name"]))
+    named = F.transform(
+        largest, lambda f: F.struct(F.get("names", f["name"].cast("int")).alias("frame"), f["total"].alias("total"))
+    )
+    return ordered.select(*key, F.inline(named)).filter(F.col("frame").isNotNull())
+
+
+def names_of(parsed: DataFrame) -> DataFrame:
+    """The distinct names of each application's dictionaries, merged before the shuffle."""
     return (
-        parse(profiles, m.BODY_NAMES)
-        .select("app_id", F.explode("names").alias("frame"))
+        parsed.select("app_id", F.explode("names").alias("frame"))
         .filter(F.col("frame").isNotNull())
         .distinct()
     )
+
+
+def frame_names(profiles: DataFrame) -> DataFrame:
+    """``names_of`` landed profiles: parses the dictionaries only, not the levels."""
+    return names_of(parse(profiles, m.BODY_NAMES))

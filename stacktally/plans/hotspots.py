@@ -17,7 +17,7 @@ class Report:
 
     usage: DataFrame
     expected: DataFrame
-    profiles: DataFrame
+    parsed: p.Parsed
     registrations: DataFrame
     settings: Settings
 
@@ -37,34 +37,39 @@ class Report:
     @property
     def rejected(self) -> DataFrame:
         """Profiles that could not be used, and job profiles without a total."""
-        valid, rejected = p.validate_profiles(self.profiles)
-        return rejected.unionByName(u.jobs_without_total(valid, self.usage))
+        without_total = u.jobs_without_total(self.parsed.valid, self.usage)
+        return self.parsed.rejected.unionByName(without_total)
 
 
 def measured_classes(resolved: DataFrame) -> w.Table:
     return w.measure(w.publish(r.impl_to_udf(resolved), "classes"), matching.shortest_path())
 
 
-def dictionary_of(profiles: DataFrame, resolved: DataFrame) -> w.Table:
+def dictionary_of(valid: DataFrame, resolved: DataFrame) -> w.Table:
     """Frame names of registered functions, as a table of known size.
 
     Profiles repeat the same names over and over, so the names are made distinct
     in a pass over the dictionaries and matched once.
     """
     classes = measured_classes(resolved)
-    names = p.frame_names(profiles)
+    names = p.names_of(valid)
     return w.measure(w.publish(matching.match_frames(names, classes), "dictionary"))
 
 
-def attributed_frames(profiles: DataFrame, resolved: DataFrame) -> DataFrame:
-    dictionary = dictionary_of(profiles, resolved)
-    return matching.attribute(p.decode_frames(p.valid_profiles(profiles)), dictionary)
+def attributed_frames(parsed: p.Parsed, resolved: DataFrame) -> DataFrame:
+    dictionary = dictionary_of(parsed.valid, resolved)
+    return matching.attribute(p.largest_frames(parsed.valid), dictionary)
+
+
+def parsed_usage(parsed: p.Parsed, registrations: DataFrame) -> DataFrame:
+    """The ``usage`` table of all units among the parsed profiles."""
+    frames = attributed_frames(parsed, r.resolve_registry(registrations))
+    return u.in_display_units(u.latest_inclusive(frames))
 
 
 def task_usage(profiles: DataFrame, registrations: DataFrame) -> DataFrame:
     """The ``usage`` table of all units found in ``profiles``."""
-    frames = attributed_frames(profiles, r.resolve_registry(registrations))
-    return u.in_display_units(u.latest_inclusive(frames))
+    return parsed_usage(p.parse_once(profiles), registrations)
 
 
 def expected_of(
@@ -84,6 +89,7 @@ def find_hotspots(
     settings: Settings = Settings(),
 ) -> Report:
     """Decode, attribute and report. The usage table is written once and read by all parts."""
-    usage = w.publish(task_usage(profiles, registrations), "usage", partition_by=["unit"])
+    parsed = p.parse_once(profiles)
+    usage = w.publish(parsed_usage(parsed, registrations), "usage", partition_by=["unit"])
     expected = expected_of(jobs, stages, tasks, usage)
-    return Report(usage, expected, profiles, registrations, settings)
+    return Report(usage, expected, parsed, registrations, settings)

@@ -28,10 +28,11 @@ def usage_writer(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         folder = f"batch={batch_id}"
-        usage = hotspots.task_usage(batch, registrations)
+        parsed = p.parse_once(batch)
+        usage = hotspots.parsed_usage(parsed, registrations)
         usage.withColumn("arrived", arrived).write.mode("overwrite").parquet(f"{path}/{folder}")
         if rejected_path is not None:
-            p.rejected_profiles(batch).write.mode("overwrite").parquet(f"{rejected_path}/{folder}")
+            parsed.rejected.write.mode("overwrite").parquet(f"{rejected_path}/{folder}")
 
     return profiles.writeStream.foreachBatch(handle)
 

@@ -78,6 +78,27 @@ def test_valid_is_the_complement_of_rejected(edge):
     assert valid.count() + rejected.count() == len(EDGE)
 
 
+def test_parsed_once_keeps_every_profile(spark, edge):
+    parsed = p.parse_once(edge)
+    reasons = [row[3] for row in EDGE if row[3]]
+    assert parsed.rejects == {reason: reasons.count(reason) for reason in reasons}
+    assert {row.id: row.reason for row in parsed.rejected.collect()} == {row[1]: row[3] for row in EDGE if row[3]}
+    assert {row.id for row in parsed.valid.collect()} == {row[1] for row in EDGE if row[3] is None}
+    nothing = p.parse_once(edge.limit(0))
+    assert nothing.rejects == {} and nothing.rows.count() == 0
+
+
+def test_largest_frames_of_edges(spark, edge):
+    """Null levels and numbers, indices outside the dictionary, null and repeated names, negative values."""
+    rows = p.largest_frames(p.valid_profiles(edge)).collect()
+    assert {row.id: (row.frame, row.total) for row in rows} == {
+        -5: ("total", 7), -9: ("total", 0), -10: ("x", 5), -18: ("total", 7),
+    }
+    text = body(["total", None, "a", "a"], [0, 9, 0, 0], [0, -4, 1, 2, 0, 8, 1, 1, 0, 3, 1, 3, 0, 2, 1, 3, 0, -5, 0, 2, 0, 6, 0, 3000000000])
+    found = p.largest_frames(p.valid_profiles(profile_rows(spark, [("task", 1, text)]))).collect()
+    assert sorted((row.frame, row.total) for row in found) == [("a", -4), ("a", 3), ("total", 9)]
+
+
 def test_decoded_edges(edge):
     rows = p.decode_frames(p.valid_profiles(edge)).collect()
     got = {row.id: (row.depth, row.total, row.self, row.frame) for row in rows}

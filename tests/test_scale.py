@@ -88,7 +88,7 @@ def test_selector_prunes_partitions_and_columns(landing):
 def test_job_totals_read_job_profiles_only(landing):
     usage = hotspots.task_usage(landing.profiles, landing.registry)
     plan = u.job_total(usage)._jdf.queryExecution().executedPlan().toString()
-    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line and "body" in line)
+    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line and "levels" in line)
     assert "unit" in scan.split("PartitionFilters")[1].split("]")[0]
 
 
@@ -99,6 +99,40 @@ def test_maxima_are_merged_before_the_shuffle(landing):
     assert "SortMergeJoin" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def scans_of(df):
+    return [line for line in plan_of(df).splitlines() if "FileScan parquet" in line]
+
+
+def test_bodies_are_read_and_parsed_once(landing, monkeypatch):
+    """One table is written from the bodies, by one parse; nothing after it reads a body."""
+    written, publish = {}, w.publish
+
+    def record(df, name, *args, **kwargs):
+        written[name] = plan_of(df).split("== Physical Plan ==")[1]
+        return publish(df, name, *args, **kwargs)
+
+    monkeypatch.setattr(w, "publish", record)
+    report = report_of(landing.profiles, e.land_events(landing.log), landing.registry)
+    assert {name: plan.count("from_json") for name, plan in written.items() if "from_json" in plan and name != "events"} == {"parsed": 1}
+    for df in (report.findings, report.missing, report.rejected):
+        assert "from_json" not in plan_of(df)
+        assert not any("body" in scan or "levels" in scan for scan in scans_of(df))
+    assert sum(report.parsed.rejects.values()) == report.parsed.rejected.count() > 0
+
+
+def test_frames_are_reduced_inside_the_row(landing):
+    """The rows that a profile is spread into are its names in use, not its frames."""
+    valid = p.parse_once(landing.profiles).valid
+    frames = p.decode_frames(valid).filter("frame IS NOT NULL").groupBy(*m.PROFILE_KEY, "frame")
+    slow = frames.agg(F.max("total").alias("total"))
+    fast = p.largest_frames(valid)
+    assert fast.exceptAll(slow).count() == 0 and slow.exceptAll(fast).count() == 0
+    thrice = valid.withColumn("levels", F.concat("levels", "levels", "levels"))
+    assert p.largest_frames(thrice).count() == fast.count() < p.decode_frames(thrice).count()
+    generate = next(line for line in plan_of(fast).split("== Physical Plan ==")[1].splitlines() if "Generate inline" in line)
+    assert "names#" not in generate.split("], ")[-2] + generate.split("], ")[-1]
+
+
 def test_no_nested_loop_in_the_report(landing):
     report = report_of(landing.profiles, e.land_events(landing.log), landing.registry)
     for df in (report.findings, report.missing, report.rejected):
