@@ -91,8 +91,8 @@ def validate_profiles(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
 class Parsed(NamedTuple):
     """Profiles parsed once: a written table, and how many were rejected for each reason.
 
-    ``rows`` has the profile key, ``reason`` (null for a usable profile) and, of usable profiles
-    only, ``names`` and ``levels``; it is partitioned by ``unit``.
+    ``rows`` has the profile key, ``reason`` (null for a usable profile), ``names`` and
+    ``levels``; it is partitioned by ``unit``.
     """
 
     rows: DataFrame
@@ -112,10 +112,7 @@ def parse_once(profiles: DataFrame) -> Parsed:
 
     The rejects are counted while the table is written.
     """
-    usable = F.col("reason").isNull()
-    rows = _with_reason(profiles).select(
-        *m.PROFILE_KEY, "reason", *[F.when(usable, F.col(f)).alias(f) for f in ("names", "levels")]
-    )
+    rows = _with_reason(profiles).select(*m.PROFILE_KEY, "reason", "names", "levels")
     seen = Observation()
     counts = [F.count_if(F.col("reason") == reason).alias(reason) for reason in m.REJECT_REASONS]
     written = w.publish(rows.observe(seen, *counts), "parsed", partition_by=["unit"])
