@@ -119,29 +119,47 @@ def queries() -> dict:
 
 def _license_sql() -> str:
     rows = ",\n".join(
-        f"({i}, '{name}', [{', '.join(repr(b) for b in licenses.template_bigrams(text))}])"
-        for i, (name, text) in enumerate(licenses.TEMPLATES)
+        f"({i}, '{t.license}', [{', '.join(map(repr, t.bigrams))}], {t.least}, {t.longest})"
+        for i, t in enumerate(licenses.prepare())
     )
     return rf"""
-WITH template(id, license, bigrams) AS (VALUES {rows}),
-line AS (
-  SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents WHERE text IS NOT NULL),
-section AS (
-  SELECT doc_id, CAST(unnest(range(len(lines))) AS INTEGER) AS line, unnest(lines) AS body FROM line
-  UNION ALL SELECT doc_id, -1, text FROM line WHERE len(lines) > 1),
-words AS (
-  SELECT doc_id, line,
-         string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w
-  FROM section),
-grams AS (
-  SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-  FROM words),
+WITH template(id, license, bigrams, least, longest) AS (VALUES {rows}),
+doc AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS lines,
+         string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w
+  FROM documents WHERE text IS NOT NULL),
+gram AS (
+  SELECT r, p, w[p] || ' ' || w[p + 1] AS g
+  FROM (SELECT r, w, unnest(range(1, len(w))) AS p FROM doc)),
+needed AS (SELECT id, least, longest, unnest(bigrams) AS g FROM template),
+hit AS (
+  SELECT r, id, p, least, longest, row_number() OVER (PARTITION BY r, id ORDER BY p) AS i
+  FROM gram JOIN needed USING (g)),
+range_of AS (
+  SELECT a.r, a.id, a.p AS s, b.p AS e FROM hit a JOIN hit b ON a.r = b.r AND a.id = b.id
+  WHERE b.i >= a.i + a.least - 1 AND b.p - a.p < a.longest),
+found AS (
+  SELECT range_of.*, license, bigrams,
+         list_distinct(list_transform(range(s, e + 1), lambda i: w[i] || ' ' || w[i + 1])) AS g
+  FROM range_of JOIN doc USING (r) JOIN template USING (id)),
 scored AS (
-  SELECT doc_id, line, license,
-         round(2.0 * len(list_intersect(g, bigrams)) / (len(g) + len(bigrams)), 6) AS dice
-  FROM grams JOIN template ON len(g) BETWEEN 0.6 * len(bigrams) AND 1.6 * len(bigrams))
-SELECT doc_id, line, license, CAST(max(dice) AS DOUBLE) AS dice FROM scored
-GROUP BY doc_id, line, license HAVING max(dice) >= {licenses.DICE}
+  SELECT r, id, license, s, e, 2.0 * len(list_intersect(g, bigrams))::DOUBLE / (len(g) + len(bigrams)) AS dice
+  FROM found),
+best AS (
+  SELECT * FROM scored WHERE dice >= {licenses.DICE}
+  QUALIFY row_number() OVER (PARTITION BY r, id, s ORDER BY dice DESC, e) = 1),
+won AS (
+  SELECT * FROM best x WHERE NOT EXISTS (
+    SELECT 1 FROM best y WHERE y.r = x.r AND y.id = x.id AND y.s <= x.e AND y.e >= x.s
+    AND (y.dice > x.dice OR (y.dice = x.dice AND y.s < x.s)))),
+line AS (
+  SELECT r, line, sum(n) OVER (PARTITION BY r ORDER BY line) AS upto, n FROM (
+    SELECT r, line, len(list_filter(string_split(
+             regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')) AS n
+    FROM (SELECT r, unnest(range(len(lines))) AS line, unnest(lines) AS body FROM doc)))
+SELECT doc_id, CAST(line AS INTEGER) AS line, license, max(round(dice, 6)) AS dice
+FROM won JOIN doc USING (r) JOIN line ON line.r = won.r AND s > upto - n AND s <= upto
+GROUP BY ALL
 """
 
 

@@ -1,5 +1,7 @@
 """Operators and pipeline stages on tables with nulls, ties, repeats and nothing at all."""
 
+import re
+import textwrap
 import zlib
 from pathlib import Path
 
@@ -265,6 +267,54 @@ def test_html_and_licenses(spark, docs, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def _slow_licenses(texts, dice=licenses.DICE):
+    """Every window of every text against every template, as the docstring of ``scan`` says."""
+    out = {}
+    for doc_id, text in texts:
+        lines = [re.findall(r"[^\W_]+", line.lower()) for line in (text or "").split("\n")]
+        words = [(word, n) for n, line in enumerate(lines) for word in line]
+        grams = [f"{a} {b}" for (a, _), (b, _) in zip(words, words[1:])]
+        for t in licenses.prepare(dice=dice):
+            own, wins = set(t.bigrams), []
+            for s in range(len(grams)):
+                scores = [
+                    (2.0 * len(g & own) / (len(g) + len(own)), -e)
+                    for e in range(s, min(s + t.longest, len(grams))) for g in [set(grams[s:e + 1])]
+                    if grams[s] in own and grams[e] in own
+                ]
+                if scores and max(scores)[0] >= dice:
+                    wins.append((max(scores)[0], s, -max(scores)[1]))
+            for d, s, e in wins:
+                if not any(s2 <= e and e2 >= s and (d2 > d or d2 == d and s2 < s) for d2, s2, e2 in wins):
+                    key = (doc_id, words[s][1], t.license)
+                    out[key] = max(out.get(key, 0), round(d, 6))
+    return out
+
+
+def test_licenses_in_windows(spark):
+    """Wrapped, inline, within a whole licence, repeated, with other words between, nearly there."""
+    mit = next(text for name, text in licenses.TEMPLATES if len(text) > 300 and name == "MIT")
+    prose = " ".join(f"word{i} of the software" for i in range(40))
+    texts = [
+        (1, f"MIT License\n\nCopyright (c) 2020 Joe\n\n{textwrap.fill(mit, 76)}\n\nThe above copyright notice\n{prose}"),
+        (2, f"{prose}. It is released under the MIT License. {prose}"),
+        (3, f"{prose}\n# Released under\n# the MIT\n# License.\n{prose}"),
+        (4, "Licensed under CC BY 4.0.\nLicensed under CC BY 4.0.\nLicensed under CC BY-SA 4.0."),
+        (5, "Licensed under the very Apache License, Version 2.0"),
+        (6, "Released under mit the License under"), (7, None), (8, ""), (9, "license"), (None, "Licensed under CC BY 4.0."),
+        (10, "Released under the MIT License. " * 30),
+    ]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in texts], "doc_id long, text string, line int")
+    found = {(r["doc_id"], r["line"], r["license"]): r["dice"] for r in licenses.scan(docs).collect()}
+    assert found == _slow_licenses(texts)
+    assert found[1, 4, "MIT"] == found[2, 0, "MIT"] == found[3, 1, "MIT"] == 1.0
+    assert {k for k in found if k[0] == 4} == {(4, 0, "CC-BY-4.0"), (4, 1, "CC-BY-4.0"), (4, 2, "CC-BY-SA-4.0")} | {
+        k for k in found if k[0] == 4 and found[k] < 1
+    }
+    assert licenses.scan(docs, templates=()).count() == 0
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
 def test_chat(spark):
     rows = [
         (0, 0, "user", "hi"), (0, 1, "assistant", "A"), (1, 0, "user", "hi"), (1, 1, "assistant", "B"),
