@@ -35,7 +35,7 @@ SIMILARITY = 0.8
 PARITIES = 16
 # k-mers hashed at once, times sketches.
 _CELLS = 100_000
-# Cells of one alignment matrix row: pairs times band width.
+# Cells aligned at once: pairs times the widest band.
 _BAND_CELLS = 60_000
 
 _SIGNATURE = T.StructType([
@@ -138,47 +138,55 @@ def _most_edits(n: int, similarity: float) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
-def _band(a: list[np.ndarray], b: list[np.ndarray], k: int) -> np.ndarray:
-    """Edit distances of many pairs at once, exact where at most ``k``, else more than ``k``.
+def _reach(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Edit distances of many pairs at once, -1 where one is above ``most`` of its pair.
 
-    Row i of the matrix of one pair holds the columns i - k .. i + k only. In a row, what is
-    inserted from the left is a running minimum.
+    The band holds, for every diagonal (place in b minus place in a), the furthest word of a that
+    is reached with e edits; with each further edit it grows by a diagonal at either side, as far
+    as the edits left still lead back to the end. So a pair costs about the square of its
+    distance and the words that are equal along the way, not its length times the band.
     """
     n_a = np.array([len(x) for x in a])
     n_b = np.array([len(x) for x in b])
-    width, rows = 2 * k + 1, int(n_a.max())
-    far = np.int32(1 << 28)
-    left = np.full((len(a), rows), -1, dtype=np.int32)
-    right = np.full((len(a), k + max(rows, int(n_b.max())) + k + 2), -2, dtype=np.int32)
-    for i, (x, y) in enumerate(zip(a, b)):
-        left[i, : len(x)] = x
-        right[i, k + 1 : k + 1 + len(y)] = y
-    slope = np.arange(width, dtype=np.int32)
-    columns = slope - k
-    row = np.where(columns >= 0, columns, far).astype(np.int32)[None, :].repeat(len(a), axis=0)
-    distance = np.full(len(a), far, dtype=np.int32)
-    at_end = n_b - n_a + k  # where the last column lies in the last row
-
-    def finish(i: int) -> None:
-        done = (n_a == i) & (at_end >= 0) & (at_end < width)
-        distance[done] = row[done, at_end[done]]
-
-    finish(0)
-    for i in range(1, rows + 1):
-        # column j of row i is word j - 1 of b, stored at k + j
-        same = right[:, i : i + width] == left[:, i - 1 : i]
-        best = row + ~same
-        np.minimum(best[:, :-1], row[:, 1:] + 1, out=best[:, :-1])
-        first = i + columns
-        best[:, first < 0] = far
-        if i <= k:
-            best[:, k - i] = i
-        best -= slope
-        np.minimum.accumulate(best, axis=1, out=best)
-        best += slope
-        row = best
-        finish(i)
-    return distance
+    # The words of all pairs end to end, each text with an end mark that equals nothing.
+    flat_a = np.concatenate([part for x in a for part in (x, [-1])])
+    flat_b = np.concatenate([part for x in b for part in (x, [-2])])
+    from_a = np.cumsum(np.r_[0, n_a[:-1] + 1])
+    from_b = np.cumsum(np.r_[0, n_b[:-1] + 1])
+    target = n_b - n_a
+    nowhere = -(1 << 40)
+    out = np.full(len(a), -1, dtype=np.int64)
+    live = np.flatnonzero(np.abs(target) <= most)
+    reached = np.zeros((len(live), 1), dtype=np.int64)
+    e = 0
+    while len(live):
+        slope = np.arange(-e, e + 1)
+        if e:
+            wide = np.full((len(live), 2 * e + 3), nowhere, dtype=np.int64)
+            wide[:, 2:-2] = reached
+            # a word of b alone, a word of each, a word of a alone
+            reached = np.maximum(wide[:, :-2], np.maximum(wide[:, 1:-1], wide[:, 2:]) + 1)
+            reached = np.minimum(reached, np.minimum(n_a[live, None], n_b[live, None] - slope))
+        fits = np.abs(target[live, None] - slope) <= (most[live] - e)[:, None]
+        fits &= (reached >= 0) & (reached + slope >= 0)
+        reached[~fits] = nowhere
+        pair, column = np.nonzero(fits)
+        at_a = from_a[live][pair] + reached[pair, column]
+        at_b = from_b[live][pair] + reached[pair, column] + slope[column]
+        running = np.arange(len(pair))
+        steps = np.zeros(len(pair), dtype=np.int64)
+        while len(running):
+            same = flat_a[at_a] == flat_b[at_b]
+            running, at_a, at_b = running[same], at_a[same] + 1, at_b[same] + 1
+            steps[running] += 1
+        reached[pair, column] += steps
+        end = np.clip(target[live] + e, 0, 2 * e)
+        done = (np.abs(target[live]) <= e) & (reached[np.arange(len(live)), end] >= n_a[live])
+        out[live[done]] = e
+        stay = ~done & (most[live] > e)
+        live, reached = live[stay], reached[stay]
+        e += 1
+    return out
 
 
 def edit_distances(
@@ -187,7 +195,9 @@ def edit_distances(
     """Word edit distance of each pair, or -1 where it is below ``similarity``.
 
     Common ends are cut off, words that one side has more often bound the distance from below,
-    and the band is doubled from a narrow one until it holds the whole path.
+    and the rest is aligned in a band that grows by one diagonal with each edit. A pair costs at
+    most the square of the edits allowed, or its equal words times these edits where almost all
+    words are the same; texts of any length are aligned whole.
     """
     out = [-1] * len(pairs)
     waiting = []
@@ -214,20 +224,17 @@ def edit_distances(
         number: dict[str, int] = {}
         ids = [np.array([number.setdefault(x, len(number)) for x in side], dtype=np.int32) for side in (a, b)]
         waiting.append((i, ids[0], ids[1], most))
-    k = 8
-    while waiting:
-        waiting.sort(key=lambda x: len(x[1]))
-        again = []
-        at_once = max(1, min(1024, _BAND_CELLS // (2 * k + 1)))
-        for start in range(0, len(waiting), at_once):
-            chunk = waiting[start : start + at_once]
-            found = _band([x[1] for x in chunk], [x[2] for x in chunk], k)
-            for item, d in zip(chunk, found.tolist()):
-                if d <= min(k, item[3]):
-                    out[item[0]] = d
-                elif k < item[3]:
-                    again.append(item)
-        waiting, k = again, k * 4
+    waiting.sort(key=lambda x: x[3])
+    start = 0
+    while start < len(waiting):
+        end = start + 1
+        while end < len(waiting) and (end + 1 - start) * (2 * waiting[end][3] + 1) <= _BAND_CELLS:
+            end += 1
+        chunk = waiting[start:end]
+        found = _reach([x[1] for x in chunk], [x[2] for x in chunk], np.array([x[3] for x in chunk]))
+        for item, d in zip(chunk, found.tolist()):
+            out[item[0]] = d
+        start = end
     return out
 
 
