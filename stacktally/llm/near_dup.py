@@ -31,8 +31,9 @@ SHINGLE_WORDS = 3
 KEPT_IN_ORDER = 3
 SKETCHES = 64
 SIMILARITY = 0.8
-# Numbers of 64 bits that hold the parities of a text's words.
-PARITIES = 16
+# Numbers of 64 bits that hold the parities of a text's words. With few cells, texts of a common
+# passage and different ends seem closer than they are, and more of them are aligned.
+PARITIES = 64
 # k-mers hashed at once, times sketches.
 _CELLS = 100_000
 # Cells aligned at once: pairs times the widest band.
@@ -287,35 +288,36 @@ def _near_words(similarity: float) -> str:
     return f"{differ} + abs(n_u - n_v) <= 2 * (1 - {similarity}) * greatest(n_u, n_v) + 1e-6"
 
 
-def _hub_pairs(met: DataFrame, similarity: float) -> DataFrame:
+def _hub_pairs(met: DataFrame, split: DataFrame, similarity: float) -> DataFrame:
     """Every text under a sketch with the first text of that sketch."""
     hubs = w.publish(
-        met.groupBy("bucket").agg(F.min(F.struct("key", "n_words")).alias("hub"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("bucket", F.col("hub.key").alias("u"), F.col("hub.n_words").alias("n_u"), "n"), "near_hubs",
+        met.groupBy("bucket").agg(F.min(F.struct("key", "n_words")).alias("hub"))
+        .select("bucket", F.col("hub.key").alias("u"), F.col("hub.n_words").alias("n_u")), "near_hubs",
     )
     pairs = met.select("bucket", F.col("key").alias("v"), F.col("n_words").alias("n_v"))
-    split = w.split_keys(hubs.select("bucket", "n"), ["bucket"])
-    pairs = w.join_split(pairs, hubs.drop("n"), ["bucket"], ["v"], split=split)
+    pairs = w.join_split(pairs, hubs, ["bucket"], ["v"], split=split)
     return pairs.filter("u <> v").filter(_near_sizes(similarity)).select("u", "v").distinct()
 
 
-def _other_pairs(met: DataFrame, nodes: DataFrame, comps: DataFrame, similarity: float) -> DataFrame:
+def _other_pairs(
+    met: DataFrame, split: DataFrame, nodes: DataFrame, comps: DataFrame, similarity: float
+) -> DataFrame:
     """Pairs of different classes under a sketch, but for those within its largest class.
 
-    Pairs are dropped inside the join where their sizes or words differ too much.
+    Pairs are dropped inside the join where their sizes or words differ too much. Crowded
+    sketches are split in every join, by the texts outside the largest class in the last.
     """
     placed = met.join(comps.select(F.col("node").alias("key"), "comp"), "key", "left").select(
         "bucket", "key", "n_words", F.coalesce("comp", "key").alias("comp")
     )
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     mixed = mixed.filter("low <> high").select("bucket")
-    open_ = w.publish(placed.join(mixed, "bucket"), "near_open")
+    open_ = w.publish(w.join_split(placed, mixed, ["bucket"], ["key"], split=split), "near_open")
     sizes = open_.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"))
     main = main.select("bucket", F.col("m.comp").alias("main"))
-    open_ = open_.join(main, "bucket").join(nodes.select("key", "parities"), "key")
-    open_ = w.publish(open_, "near_open")
+    open_ = w.join_split(open_, main, ["bucket"], ["key"], split=split)
+    open_ = w.publish(open_.join(nodes.select("key", "parities"), "key"), "near_open")
     u = open_.filter("comp <> main").select(
         "bucket", F.col("key").alias("u"), F.col("n_words").alias("n_u"), F.col("comp").alias("comp_u"),
         F.col("parities").alias("odd_u"),
@@ -324,12 +326,29 @@ def _other_pairs(met: DataFrame, nodes: DataFrame, comps: DataFrame, similarity:
         "bucket", F.col("key").alias("v"), F.col("n_words").alias("n_v"), F.col("comp").alias("comp_v"), "main",
         F.col("parities").alias("odd_v"),
     )
-    pairs = u.join(v, "bucket").filter("comp_u <> comp_v AND (comp_v = main OR u < v)")
+    pairs = w.join_split(u, v, ["bucket"], ["u"], split=split)
+    pairs = pairs.filter("comp_u <> comp_v AND (comp_v = main OR u < v)")
     return pairs.filter(_near_sizes(similarity)).filter(_near_words(similarity)).select(
         F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     ).distinct()
 
 
+def _merged(nodes: DataFrame, comps: DataFrame, more: DataFrame) -> DataFrame:
+    """(key, comp) of all nodes after further links, which are followed between classes only."""
+    placed = w.publish(
+        nodes.select("key").join(comps.select(F.col("node").alias("key"), "comp"), "key", "left")
+        .select("key", F.coalesce("comp", "key").alias("comp")), "near_placed",
+    )
+    for side, other in (("u", "v"), ("v", "u")):
+        of = placed.select(F.col("key").alias(side), F.col("comp").alias(f"comp_{side}"))
+        more = w.join_split(more, of, [side], [other])
+    top = components(more.select(F.col("comp_u").alias("u"), F.col("comp_v").alias("v")), "near_classes")
+    top = top.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return w.join_split(placed, top, ["comp"], ["key"], how="left").select(
+        "key", F.coalesce("top", "comp").alias("comp")
+    )
+
+
 def classes(
     docs: DataFrame,
     shingle_words: int = SHINGLE_WORDS,
@@ -360,20 +379,16 @@ def classes(
     # Most sketches stand under one text only: they are dropped before anything is joined.
     met = nodes.select("key", "n_words", F.explode("sketches").alias("bucket"))
     shared = w.publish(met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "near_shared")
-    met = w.join_split(met, shared.select("bucket"), ["bucket"], ["key"], split=w.split_keys(shared, ["bucket"]))
-    met = w.publish(met, "near_met")
+    split = w.split_keys(shared, ["bucket"])
+    met = w.publish(w.join_split(met, shared.select("bucket"), ["bucket"], ["key"], split=split), "near_met")
 
-    pairs = w.publish(_hub_pairs(met, similarity), "near_pairs")
+    pairs = w.publish(_hub_pairs(met, split, similarity), "near_pairs")
     links = w.publish(_similar(pairs, _texts_of(docs, _keys(pairs)), similarity), "near_links")
     comps = components(links, "near_classes")
 
-    others = w.publish(_other_pairs(met, nodes, comps, similarity), "near_pairs")
+    others = w.publish(_other_pairs(met, split, nodes, comps, similarity), "near_pairs")
     more = w.publish(_similar(others, _texts_of(docs, _keys(others)), similarity), "near_links")
-    if not more.isEmpty():
-        comps = components(links.unionByName(more), "near_classes")
-    return nodes.select("key", "n_copies").join(
-        comps.select(F.col("node").alias("key"), "comp"), "key", "left"
-    ).withColumn("comp", F.coalesce("comp", "key"))
+    return nodes.select("key", "n_copies").join(_merged(nodes, comps, more), "key")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
