@@ -34,6 +34,8 @@ SIMILARITY = 0.8
 # Numbers of 64 bits that hold the parities of a text's words. With few cells, texts of a common
 # passage and different ends seem closer than they are, and more of them are aligned.
 PARITIES = 64
+# So many numbers are left of them, folded, for the first look at a pair.
+FOLDED = 16
 # k-mers hashed at once, times sketches.
 _CELLS = 100_000
 # Cells aligned at once: pairs times the widest band.
@@ -282,10 +284,21 @@ def _near_sizes(similarity: float) -> str:
     return f"least(n_u, n_v) >= {similarity} * greatest(n_u, n_v) - 1e-9"
 
 
+def _folded() -> str:
+    """``parities`` of fewer cells: those that fall together are added up."""
+    parts = " ^ ".join(f"parities[i + {at}]" for at in range(0, PARITIES, FOLDED))
+    return f"transform(sequence(0, {FOLDED - 1}), i -> {parts})"
+
+
 def _near_words(similarity: float) -> str:
-    """False only for pairs whose different words alone are too many edits."""
-    differ = " + ".join(f"bit_count(odd_u[{i}] ^ odd_v[{i}])" for i in range(PARITIES))
-    return f"{differ} + abs(n_u - n_v) <= 2 * (1 - {similarity}) * greatest(n_u, n_v) + 1e-6"
+    """False only for pairs whose different words alone are too many edits.
+
+    Most pairs fall at the folded parities already.
+    """
+    most = f"2 * (1 - {similarity}) * greatest(n_u, n_v) + 1e-6 - abs(n_u - n_v)"
+    first = " + ".join(f"bit_count(few_u[{i}] ^ few_v[{i}])" for i in range(FOLDED))
+    full = "aggregate(zip_with(odd_u, odd_v, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
+    return f"{first} <= {most} AND {full} <= {most}"
 
 
 def _hub_pairs(met: DataFrame, split: DataFrame, similarity: float) -> DataFrame:
@@ -320,11 +333,11 @@ def _other_pairs(
     open_ = w.publish(open_.join(nodes.select("key", "parities"), "key"), "near_open")
     u = open_.filter("comp <> main").select(
         "bucket", F.col("key").alias("u"), F.col("n_words").alias("n_u"), F.col("comp").alias("comp_u"),
-        F.col("parities").alias("odd_u"),
+        F.col("parities").alias("odd_u"), F.expr(_folded()).alias("few_u"),
     )
     v = open_.select(
         "bucket", F.col("key").alias("v"), F.col("n_words").alias("n_v"), F.col("comp").alias("comp_v"), "main",
-        F.col("parities").alias("odd_v"),
+        F.col("parities").alias("odd_v"), F.expr(_folded()).alias("few_v"),
     )
     pairs = w.join_split(u, v, ["bucket"], ["u"], split=split)
     pairs = pairs.filter("comp_u <> comp_v AND (comp_v = main OR u < v)")
