@@ -317,8 +317,9 @@ def _other_pairs(
 ) -> DataFrame:
     """Pairs of different classes under a sketch, but for those within its largest class.
 
-    Pairs are dropped inside the join where their sizes or words differ too much. Crowded
-    sketches are split in every join, by the texts outside the largest class in the last.
+    Pairs are dropped inside the join where their sizes or words differ too much, and under all
+    but the first of the sketches that both texts share. Crowded sketches are split in every
+    join, by the texts outside the largest class in the last.
     """
     placed = met.join(comps.select(F.col("node").alias("key"), "comp"), "key", "left").select(
         "bucket", "key", "n_words", F.coalesce("comp", "key").alias("comp")
@@ -330,18 +331,21 @@ def _other_pairs(
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m"))
     main = main.select("bucket", F.col("m.comp").alias("main"))
     open_ = w.join_split(open_, main, ["bucket"], ["key"], split=split)
-    open_ = w.publish(open_.join(nodes.select("key", "parities"), "key"), "near_open")
+    open_ = w.publish(open_.join(nodes.select("key", "sketches", "parities"), "key"), "near_open")
     u = open_.filter("comp <> main").select(
         "bucket", F.col("key").alias("u"), F.col("n_words").alias("n_u"), F.col("comp").alias("comp_u"),
         F.col("parities").alias("odd_u"), F.expr(_folded()).alias("few_u"),
+        F.col("sketches").alias("sketches_u"),
     )
     v = open_.select(
         "bucket", F.col("key").alias("v"), F.col("n_words").alias("n_v"), F.col("comp").alias("comp_v"), "main",
         F.col("parities").alias("odd_v"), F.expr(_folded()).alias("few_v"),
+        F.col("sketches").alias("sketches_v"),
     )
     pairs = w.join_split(u, v, ["bucket"], ["u"], split=split)
     pairs = pairs.filter("comp_u <> comp_v AND (comp_v = main OR u < v)")
-    return pairs.filter(_near_sizes(similarity)).filter(_near_words(similarity)).select(
+    first = "bucket = element_at(array_intersect(sketches_u, sketches_v), 1)"
+    return pairs.filter(f"{_near_sizes(similarity)} AND {_near_words(similarity)} AND {first}").select(
         F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     ).distinct()
 
