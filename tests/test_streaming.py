@@ -214,3 +214,20 @@ def test_fixture_steps_cover_all_rows(spark, landing):
     steps = fx.stream_steps(spark, landing)
     assert sum(profiles.count() for profiles, _, _ in steps) == landing.profiles.count() + 1
     assert sum(lines.count() for _, lines, _ in steps) == landing.log.count() + 3
+
+
+def test_state_partitions_follow_the_cores(spark):
+    before = spark.conf.get(run.PARTITIONS)
+    spark.conf.set(run.PARTITIONS, "200")
+    with run.state_partitions(spark):
+        assert spark.conf.get(run.PARTITIONS) == str(2 * spark.sparkContext.defaultParallelism)
+    assert spark.conf.get(run.PARTITIONS) == "200"
+    spark.conf.set(run.PARTITIONS, before)
+
+
+def test_tasks_of_a_job_share_few_states(spark, tmp_path):
+    """Two thousand neighbours are one state and no more."""
+    rows = [r for t in range(0, 2048, 64) for r in usage_row(t, 1, 0)]
+    s = Streams(spark, tmp_path)
+    s.step([starts(1, [1], 0, 0)], [rows])
+    assert s.states["tracked"] <= 3  # the value, its timer, and the list of timers by time
