@@ -138,3 +138,26 @@ def test_a_step_reads_only_what_is_new_and_touched(spark, tmp_path):
     reports.report_due(run.store, run.registry, 7, Settings(), month)
     assert {(r.app_id, r.id) for r in run.store.read("kept_usage").collect() if r.app_id == "b"} == {("b", 3)}
     assert run.store.of("kept_usage", [key["a"]]).count() > 0
+
+
+def test_applications_share_a_bounded_number_of_folders(spark, tmp_path, monkeypatch):
+    keys = spark.range(5000).select(reports.app_key(F.concat(F.lit("app-"), F.col("id").cast("string")))).distinct()
+    assert keys.count() <= reports.APP_FOLDERS
+    # All in one folder: what happens to one application leaves the others as they are.
+    monkeypatch.setattr(reports, "APP_FOLDERS", 1)
+    run = Run(spark, tmp_path / "store")
+    for n, app in enumerate("ab"):
+        usage = cost(app, m.JOB, 1, 2, 10.0) + cost(app, m.TASK, 1, 1, 8.0) + cost(app, m.TASK, 1, 1, 8.0, "f")
+        run.step(n + 1, log_of(app, 0, [1, 2]), usage)
+    spark.createDataFrame(cost("b", m.TASK, 2, 1, 1.0), m.USAGE).write.parquet(f"{run.store.path('usage')}/batch=77")
+    month = F.lit(ARRIVED + dt.timedelta(days=31))
+    soon = F.lit(ARRIVED + dt.timedelta(seconds=1))
+    reports.report_due(run.store, run.registry, 3, Settings(), soon)
+    assert {r.app_id: r.complete for r in reports.newest(run.store, "jobs").collect()} == {"b": True}
+    assert [r.app_id for r in run.store.read("waiting").filter("step = 3").collect()] == ["a"]
+    before = run.store.read("kept_usage").filter("app_id = 'a'").count()
+    assert before == 6
+    # The other's wait is over much later; what is too old goes for the touched application alone.
+    reports.report_due(run.store, run.registry, 4, Settings(), month)
+    assert run.store.read("kept_usage").filter("app_id = 'a'").count() == 0
+    assert run.store.read("kept_usage").filter("app_id = 'b'").count() > 0
