@@ -226,8 +226,12 @@ def test_state_partitions_follow_the_cores(spark):
 
 
 def test_tasks_of_a_job_share_few_states(spark, tmp_path):
-    """Two thousand neighbours are one state and no more."""
-    rows = [r for t in range(0, 2048, 64) for r in usage_row(t, 1, 0)]
-    s = Streams(spark, tmp_path)
-    s.step([starts(1, [1], 0, 0)], [rows])
-    assert s.states["tracked"] <= 3  # the value, its timer, and the list of timers by time
+    """Of two thousand neighbours, as many as asked for share a state."""
+    owned, usage = (Table(spark, tmp_path / name, schema) for name, schema in (("owned", sj.OWNED), ("usage", su.LANDED)))
+    usage.add(*[r for t in range(0, 2048, 64) for r in usage_row(t, 1, 0)])
+    states = {}
+    for bits in (8, 11):
+        rows = sj.track_tasks(owned.stream(), usage.stream(), SETTINGS, block_bits=bits)
+        query = run.drain(run.to_files(rows, f"{tmp_path}/out{bits}"), f"{tmp_path}/ck{bits}", True, True)
+        states[bits] = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert states[11] * 8 <= states[8]
