@@ -181,3 +181,37 @@ def test_measured_size_is_exact(spark):
     published = w.measure(w.publish(rows, "test"))
     assert published.n_bytes == expected
     assert sorted(published.rows.collect(), key=repr) == sorted(rows.collect(), key=repr)
+
+
+def test_large_dictionary_moves_no_frame_that_is_no_functions(spark, monkeypatch):
+    """Before the shuffle, names of no dictionary are dropped; the reserved frame may be a function's."""
+    rows = [
+        ("a", "T", "task", 1, 1, "lib/Thread.run", 9), ("a", "T", "task", 1, 1, "total", 9), ("a", "T", "task", 1, 1, "f/A.call", 4),
+        ("b", "T", "task", 1, 1, "f/A.call", 5), ("b", "T", "task", 1, 1, "total", 5), ("c", "T", "task", 1, 1, "total", 6),
+        (None, "T", "task", 1, 1, "total", 3),
+    ]
+    frames = spark.createDataFrame(rows, "app_id STRING, profile_type STRING, unit STRING, id LONG, ts LONG, frame STRING, total LONG")
+    known = spark.createDataFrame(
+        [("a", "f/A.call", "fa", 1), ("b", "total", "word", 1)], "app_id STRING, frame STRING, udf STRING, n LONG"
+    )
+    written, publish = {}, w.publish
+
+    def record(df, name, *args, **kwargs):
+        written[name] = publish(df, name, *args, **kwargs)
+        return written[name]
+
+    monkeypatch.setattr(w, "publish", record)
+    limit = 2 * w.ROW_OVERHEAD_BYTES + len("f/A.call") + len("total")
+    large = matching.attribute(frames, w.measure(known), limit=limit)
+    assert "_salt" in plan_of(large) and "key_counts" not in written
+    assert {row.frame for row in written["known_frames"].collect()} == {"f/A.call", "total"}
+    small = matching.attribute(frames, w.measure(known))
+    assert sorted(large.collect(), key=repr) == sorted(small.collect(), key=repr)
+    assert {(row.app_id, row.udf) for row in small.collect()} == {("a", "fa"), ("a", None), ("b", "word"), ("c", None), (None, None)}
+
+
+def test_names_are_counted_with_the_dictionary(landing):
+    valid = p.parse_once(landing.profiles).valid
+    counted = hotspots.dictionary_of(valid, r.resolve_registry(landing.registry)).rows
+    names = valid.select("app_id", F.explode("names").alias("frame")).groupBy("app_id", "frame").count()
+    assert counted.join(names, ["app_id", "frame"]).filter("n <> count").count() == 0 < counted.count()
