@@ -215,3 +215,14 @@ def test_names_are_counted_with_the_dictionary(landing):
     counted = hotspots.dictionary_of(valid, r.resolve_registry(landing.registry)).rows
     names = valid.select("app_id", F.explode("names").alias("frame")).groupBy("app_id", "frame").count()
     assert counted.join(names, ["app_id", "frame"]).filter("n <> count").count() == 0 < counted.count()
+
+
+def test_bodies_are_not_sorted_to_be_landed(spark, sf_dir, tmp_path):
+    spans = fx.task_spans(fx.read_base(spark, sf_dir))
+    parts = fx.profile_parts(spans, fx.job_spans(spans))
+    assert len(parts) == 4
+    for part in parts:
+        kinds = part.select("profile_type", "unit").distinct().collect()
+        assert len(kinds) == 1
+        executed = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Sort" not in executed
