@@ -361,5 +361,5 @@ def test_pipeline_stages(spark, docs, nothing, sf_dir):
 
 def test_registered(spark):
     names = [n for n in entries.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entries.queries() and Path(corpus_pipeline.__file__).parent == Path(entries.__file__).parent
