@@ -235,3 +235,26 @@ def test_tasks_of_a_job_share_few_states(spark, tmp_path):
         query = run.drain(run.to_files(rows, f"{tmp_path}/out{bits}"), f"{tmp_path}/ck{bits}", True, True)
         states[bits] = query.lastProgress["stateOperators"][0]["numRowsTotal"]
     assert states[11] * 8 <= states[8]
+
+
+def test_ends_wait_for_their_job_a_retention(spark, tmp_path):
+    """Stages of several blocks, a job that comes within the retention and one that does not; then no state is left."""
+    log = Table(spark, tmp_path / "log", LINES)
+
+    def step(*lines):
+        log.add(*lines)
+        query = run.drain(run.to_files(sj.owned_ends(log.stream()), f"{tmp_path}/owned"), f"{tmp_path}/ck")
+        rows = spark.read.schema(sj.OWNED).parquet(f"{tmp_path}/owned").collect()
+        got = sorted((r.task_id, r.stage_id, r.job_id, (r.arrived - arrival(0)).total_seconds()) for r in rows)
+        return got, query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    no_stage = line("a", "SparkListenerTaskEnd", 0, **{"Task Info": {"Task ID": 9}})
+    first = [(1, 3, 1, 0.0), (1, 3, 1, 0.0), (2, 40, 1, 0.0)]
+    assert step(starts(1, [3, 40, 3], 0, 0), ends(1, 3, 0), ends(1, 3, 0), ends(2, 40, 0), ends(3, 41, 0), no_stage)[0] == first
+    second = [*first, (3, 41, 2, 6.0 * DAY)]
+    assert step(starts(2, [41], 0, 6 * DAY))[0] == second
+    got, states = step(starts(3, [41, 3], 0, 8 * DAY), ends(4, 40, 8 * DAY))
+    assert got == second and states > 0
+    # Any line moves the clock.
+    assert step(line("b", "SparkListenerLogStart", 20 * DAY))[0] == second
+    assert step(line("b", "SparkListenerLogStart", 21 * DAY)) == (second, 0)
