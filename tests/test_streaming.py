@@ -237,6 +237,46 @@ def test_tasks_of_a_job_share_few_states(spark, tmp_path):
     assert states[11] * 8 <= states[8]
 
 
+def test_states_are_as_many_as_asked_for(spark, tmp_path):
+    """Tasks, ends and jobs of many applications share three states, and nothing else changes."""
+    log, usage = (Table(spark, tmp_path / name, schema) for name, schema in (("log", LINES), ("usage", su.LANDED)))
+    apps = [f"app {i}" for i in range(6)]
+    for a, app in enumerate(apps):
+        tasks = [10_000 * j + t for j in range(2) for t in range(3)]
+        log.add(*[starts(j, [100 * j, 7], a, 0, app) for j in range(2)], *[job_ends(j, 0, app) for j in range(2)],
+                *[ends(t, t // 10_000 * 100, 0, app) for t in tasks])
+        usage.add(*[r for t in tasks[a % 3:] for r in usage_row(t, 1, 0, 1.0 + a, udf='f "quoted"', app=app)])
+    most = {}
+
+    def drained(rows, root, of):
+        query = run.drain(run.to_files(rows, f"{root}/{of}"), f"{root}/ck-{of}", True)
+        n = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        most[root, of] = max(most.get((root, of), 0), n)
+
+    variants = {f"{tmp_path}/apart": {}, f"{tmp_path}/together": {"states": 3}}
+    for second in (600, 1200, 1800):
+        for root, states in variants.items():
+            drained(sj.owned_ends(log.stream(), **states), root, "owned")
+            owned = spark.readStream.schema(sj.OWNED).parquet(f"{root}/owned")
+            drained(sj.track_tasks(owned, usage.stream(), SETTINGS, **states), root, "tracked")
+            tracked = sj.stream_tracked(spark, f"{root}/tracked")
+            drained(sj.track_jobs(log.stream(), tracked, SETTINGS, **states), root, "jobs")
+        log.add(starts(0, [0], 0, second, "~"), ends(second, 0, second, "~"))
+        usage.add(*usage_row(second, 0, second, app="~"))
+
+    def results(root):
+        read = lambda schema, of: spark.read.schema(schema).parquet(f"{root}/{of}").filter("app_id <> '~'")
+        tracked = read(sj.TRACKED, "tracked")
+        frames = (read(sj.OWNED, "owned"), sj.outcomes(tracked), sj.newest_usage(tracked), sj.newest_reports(read(sj.JOB_REPORT, "jobs")))
+        return [sorted(map(tuple, df.collect()), key=repr) for df in frames]
+
+    apart, together = map(results, variants)
+    assert [len(x) for x in apart] == [36, 72, 60, 12] and together == apart
+    for of in ("owned", "tracked", "jobs"):
+        own, shared = (most[root, of] for root in variants)
+        assert shared <= 3 < own
+
+
 def test_ends_wait_for_their_job_a_retention(spark, tmp_path):
     """Stages of several blocks, a job that comes within the retention and one that does not; then no state is left."""
     log = Table(spark, tmp_path / "log", LINES)
